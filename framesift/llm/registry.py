@@ -27,6 +27,13 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.quality_fm import score_texts, train
+
+    docs = documents(spark, sf_dir)
+    return score_texts(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.exact_dedup import exact_dedup
 
