@@ -20,6 +20,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.html_extract import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.simhash_dedup import simhash_components
 
