@@ -23,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +48,7 @@ def successor_types(text: np.ndarray) -> np.ndarray:
     if n < 2:
         return up
     change = np.flatnonzero(text[1:] != text[:-1])
-    rising = text[change + 1] > text[change]
-    at = np.searchsorted(change, np.arange(n))
-    known = at < len(change)
-    up[known] = rising[at[known]]
+    up[: change[-1] + 1 if len(change) else 0] = np.repeat(text[change + 1] > text[change], np.diff(change, prepend=-1))
     return up
 
 
@@ -70,7 +68,7 @@ def sort_directly(word: np.ndarray, which: np.ndarray, depth: int) -> np.ndarray
     if not len(which):
         return which
     last = len(word) - 1
-    order = which[np.argsort(word[which], kind="stable")]
+    order = which[np.argsort(word[which])]
     first = word[order]
     new = np.ones(len(order), bool)
     new[1:] = first[1:] != first[:-1]
@@ -164,29 +162,28 @@ class Fragments:
         self.missing = table.column("row").take(by)
         self.ids = ids.take(by).to_numpy()
         self.raw, self.offsets = text_bytes(table.column("text").take(by))
-        starts, ends, keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        total = len(self.raw)
+        self.width, total = width, len(self.raw)
+        whole = np.zeros(total + 1, np.int8)
+        sizes = np.diff(self.offsets)
+        np.add.at(whole, self.offsets[:-1], sizes >= width)
+        np.subtract.at(whole, np.maximum(self.offsets[:-1], self.offsets[1:] - width + 1), sizes >= width)
+        whole = np.cumsum(whole[:-1], dtype=np.int8) > 0
+        starts, ends, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
         for low in range(0, total - width + 1, STEP):
             high = min(low + STEP, total - width + 1)
             least = window_keys(self.raw[low : high + width - 1], width, key_bytes)
-            at = np.arange(low, high)
-            doc = np.searchsorted(self.offsets, at, "right") - 1
-            whole = at + width <= self.offsets[doc + 1]
-            at, doc, least = at[whole], doc[whole], least[whole]
-            if not len(at):
-                continue
-            cut = np.ones(len(at), bool)
-            cut[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-            first = np.flatnonzero(cut)
-            run = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-            first = np.flatnonzero(cut | (run % LONGEST_RUN == 0))
-            starts.append(at[first])
-            ends.append(at[np.append(first[1:], len(at)) - 1] + 1)
-            keys.append(least[first])
-            owners.append(doc[first])
-        self.start, self.end = np.concatenate(starts), np.concatenate(ends)
-        self.key, self.doc = np.concatenate(keys), np.concatenate(owners)
-        self.width = width
+            here = whole[low:high]
+            same = np.zeros(len(here) + 1, bool)
+            same[1:-1] = (least[1:] == least[:-1]) & here[:-1] & here[1:]
+            first, last = np.flatnonzero(here & ~same[:-1]), np.flatnonzero(here & ~same[1:]) + 1
+            parts = -(-(last - first) // LONGEST_RUN)
+            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            begin = np.repeat(first, parts) + nth * LONGEST_RUN
+            starts.append(low + begin)
+            ends.append(low + np.minimum(begin + LONGEST_RUN, np.repeat(last, parts)))
+            keys.append(least[begin])
+        self.start, self.end, self.key = np.concatenate(starts), np.concatenate(ends), np.concatenate(keys)
+        self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
 
     def asked(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys of one document of the chunk, and keys of more."""
@@ -198,10 +195,11 @@ class Fragments:
         many = np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first)
         return key[first[~many]], key[first[many]]
 
-    def shared(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Fragments with one of the sorted keys: their places, the number of each one's bytes, these bytes."""
-        at = np.searchsorted(keys, self.key)
-        hit = np.flatnonzero((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == self.key)) if len(keys) else np.zeros(0, np.int64)
+    def shared(self, keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Fragments with one of the sorted places of keys: where they are, the number of each one's bytes, these bytes."""
+        own = placed(*ranges_of(self.key, ranges))
+        at = np.searchsorted(keys, own)
+        hit = np.flatnonzero((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == own)) if len(keys) else np.zeros(0, np.int64)
         seen: dict[bytes, int] = {}
         body = self.raw.tobytes()
         number = np.fromiter(
@@ -230,9 +228,28 @@ def window_keys(raw: np.ndarray, width: int, key_bytes: int) -> np.ndarray:
     return least
 
 
-def ranges_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """The range of each key; keys are minima, so they are mixed again first."""
-    return (mix(keys ^ U64(0xC2B2AE3D27D4EB4F)) % U64(ranges)).astype(np.int64)
+def ranges_of(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each key, and the 40 bits that stand for the key inside it.
+
+    Keys are minima, so they are mixed again first. Two keys with equal bits only mean more candidates.
+    """
+    mixed = mix(keys ^ U64(0xC2B2AE3D27D4EB4F))
+    return (mixed % U64(ranges)).astype(np.int64), mixed >> U64(24)
+
+
+def packed(short: np.ndarray) -> bytes:
+    return np.ascontiguousarray(short.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def placed(part: np.ndarray | int, short: np.ndarray) -> np.ndarray:
+    """One number for a range and the bits inside it."""
+    return (np.asarray(part).astype(U64) << U64(40)) ^ short
 
 
 def split_by(part: np.ndarray, *columns: np.ndarray) -> list[tuple]:
@@ -252,14 +269,15 @@ def _ask(width: int, key_bytes: int, ranges: int):
         once, many = Fragments(table, width, key_bytes).asked()
         key = np.concatenate([once, many])
         flag = np.arange(len(key)) >= len(once)
-        rows = split_by(ranges_of(key, ranges), key, flag)
+        part, short = ranges_of(key, ranges)
+        rows = split_by(part, short, flag)
         chunk = table.column("chunk")[0].as_py()
         return pa.table(
             {
                 "part": pa.array([r[0] for r in rows], pa.int64()),
                 "chunk": pa.array([chunk] * len(rows), pa.int64()),
-                "once": pa.array([r[1][~r[2]].tobytes() for r in rows], pa.binary()),
-                "many": pa.array([r[1][r[2]].tobytes() for r in rows], pa.binary()),
+                "once": pa.array([packed(r[1][~r[2]]) for r in rows], pa.binary()),
+                "many": pa.array([packed(r[1][r[2]]) for r in rows], pa.binary()),
             }
         )
 
@@ -270,7 +288,7 @@ def _answer(table: pa.Table) -> pa.Table:
     keys, chunks, flags = [], [], []
     for chunk, once, many in zip(*(table.column(c).to_pylist() for c in ("chunk", "once", "many")), strict=True):
         for blob, flag in ((once, 1), (many, 2)):
-            found = np.frombuffer(blob, U64)
+            found = unpacked(blob)
             keys.append(found)
             chunks.append(np.full(len(found), chunk))
             flags.append(np.full(len(found), flag))
@@ -284,22 +302,26 @@ def _answer(table: pa.Table) -> pa.Table:
         rows = split_by(chunk[common], key[common])
     return pa.table(
         {
+            "part": pa.array([table.column("part")[0].as_py() for _ in rows], pa.int64()),
             "chunk": pa.array([r[0] for r in rows], pa.int64()),
-            "keys": pa.array([r[1].tobytes() for r in rows], pa.binary()),
+            "keys": pa.array([packed(r[1]) for r in rows], pa.binary()),
         }
     )
 
 
-def _blobs(table: pa.Table, column: str, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype)
+def _answered(table: pa.Table) -> np.ndarray:
+    """The answers to a chunk as sorted places of keys."""
+    pairs = zip(table.column("part").to_pylist(), table.column("keys").to_pylist(), strict=True)
+    found = [placed(part, unpacked(keys)) for part, keys in pairs if keys is not None]
+    return np.sort(np.concatenate([np.zeros(0, U64), *found]))
 
 
 def _send(width: int, key_bytes: int, ranges: int):
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = []
+        rows, pack = [], zstandard.ZstdCompressor(level=1).compress
         if table.num_rows:
             fragments = Fragments(table, width, key_bytes)
-            hit, number, bodies = fragments.shared(np.sort(_blobs(answers, "keys", U64)))
+            hit, number, bodies = fragments.shared(_answered(answers), ranges)
             n = len(bodies)
             row = fragments.ids[fragments.doc[hit]]
             least, most = np.full(n, NO_ID), np.full(n, -NO_ID - 1)
@@ -307,7 +329,7 @@ def _send(width: int, key_bytes: int, ranges: int):
             np.maximum.at(most, number, row)
             key = np.zeros(n, U64)
             key[number] = fragments.key[hit]
-            rows = split_by(ranges_of(key, ranges), np.arange(n), least, most)
+            rows = split_by(ranges_of(key, ranges)[0], np.arange(n), least, most)
             chunk = table.column("chunk")[0].as_py()
         return pa.table(
             {
@@ -317,7 +339,7 @@ def _send(width: int, key_bytes: int, ranges: int):
                 "least": pa.array([r[2].tobytes() for r in rows], pa.binary()),
                 "most": pa.array([r[3].tobytes() for r in rows], pa.binary()),
                 "sizes": pa.array([np.array([len(bodies[i]) for i in r[1]], "<i4").tobytes() for r in rows], pa.binary()),
-                "body": pa.array([b"".join(bodies[i] for i in r[1]) for r in rows], pa.binary()),
+                "body": pa.array([pack(b"".join(bodies[i] for i in r[1])) for r in rows], pa.binary()),
             }
         )
 
@@ -347,10 +369,11 @@ def _sort(width: int):
     def find(table: pa.Table) -> pa.Table:
         seen: dict[bytes, int] = {}
         which, holders, least, most, at = [], [], [], [], []
+        unpack = zstandard.ZstdDecompressor().decompress
         for chunk, blob_at, blob_least, blob_most, sizes, body in zip(
             *(table.column(c).to_pylist() for c in ("chunk", "at", "least", "most", "sizes", "body")), strict=True
         ):
-            ends = np.cumsum(np.frombuffer(sizes, "<i4")).tolist()
+            ends, body = np.cumsum(np.frombuffer(sizes, "<i4")).tolist(), unpack(body)
             for start, end in zip([0, *ends[:-1]], ends, strict=True):
                 which.append(seen.setdefault(body[start:end], len(seen)))
             holders.append(np.full(len(ends), chunk))
@@ -379,6 +402,7 @@ def _sort(width: int):
             rows = split_by(chunk[holder], reply)
         return pa.table(
             {
+                "part": pa.array([None] * len(rows), pa.int64()),
                 "chunk": pa.array([r[0] for r in rows], pa.int64()),
                 "reply": pa.array([r[1].tobytes() for r in rows], pa.binary()),
                 "keys": pa.array([None] * len(rows), pa.binary()),
@@ -388,15 +412,15 @@ def _sort(width: int):
     return find
 
 
-def _mark(width: int, key_bytes: int):
+def _mark(width: int, key_bytes: int, ranges: int):
     def mark(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in MARKED.items()})
         fragments = Fragments(table, width, key_bytes)
         covered = np.zeros(len(fragments.raw) + 1, np.int32)
-        reply = _blobs(answers.filter(pc.is_valid(answers.column("reply"))), "reply", REPLY)
+        reply = np.frombuffer(b"".join(x for x in answers.column("reply").to_pylist() if x is not None), REPLY)
         if len(reply):
-            hit, number, bodies = fragments.shared(np.sort(_blobs(answers.filter(pc.is_valid(answers.column("keys"))), "keys", U64)))
+            hit, number, bodies = fragments.shared(_answered(answers), ranges)
             by = np.argsort(number, kind="stable")
             per = np.searchsorted(number[by], np.arange(len(bodies) + 1))
             count = (per[1:] - per[:-1])[reply["at"]]
@@ -457,7 +481,7 @@ def suffix_dedup(
     asked = dealt.groupBy("chunk").applyInArrow(
         _ask(width, key_bytes, ranges), "part long, chunk long, once binary, many binary"
     )
-    answers = asked.groupBy("part").applyInArrow(_answer, "chunk long, keys binary")
+    answers = asked.groupBy("part").applyInArrow(_answer, "part long, chunk long, keys binary")
     sent = (
         dealt.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
@@ -466,13 +490,15 @@ def suffix_dedup(
             "part long, chunk long, at binary, least binary, most binary, sizes binary, body binary",
         )
     )
-    found = sent.groupBy("part").applyInArrow(_sort(width), "chunk long, reply binary, keys binary")
-    replies = found.unionByName(answers.select("chunk", F.lit(None).cast("binary").alias("reply"), "keys"))
+    found = sent.groupBy("part").applyInArrow(
+        _sort(width), "part long, chunk long, reply binary, keys binary"
+    )
+    replies = found.unionByName(answers.select("part", "chunk", F.lit(None).cast("binary").alias("reply"), "keys"))
     return (
         dealt.groupBy("chunk")
         .cogroup(replies.groupBy("chunk"))
         .applyInArrow(
-            _mark(width, key_bytes),
+            _mark(width, key_bytes, ranges),
             "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>",
         )
     )
