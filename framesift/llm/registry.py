@@ -26,6 +26,12 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.line_dedup import line_dedup
+
+    return line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.simhash_dedup import simhash_components
 
