@@ -32,6 +32,20 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.order_minhash import as_text, order_minhash
+
+    return order_minhash(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        as_text("signature").alias("fingerprint"),
+        as_text("edited_signature").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.simhash_dedup import simhash_components
 
