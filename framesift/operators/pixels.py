@@ -105,8 +105,8 @@ def motion_search(blocks: DataFrame, reference: DataFrame, track: str, block: st
 
 def pad_plane(pixels: DataFrame, id_col: str, width: int, height: int) -> DataFrame:
     """id, x, y, v on a grid of width x height: zero where the plane has no pixel; pixels outside are cropped."""
-    xs, ys = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (width, height))
-    grid = pixels.select(id_col).distinct().withColumn("x", xs.cast("long")).withColumn("y", ys.cast("long"))
+    xs, ys = (F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))) for n in (width, height))
+    grid = pixels.select(id_col).distinct().withColumn("x", xs).withColumn("y", ys)
     return grid.join(pixels.select(id_col, "x", "y", "v"), [id_col, "x", "y"], "left").withColumn("v", F.coalesce("v", F.lit(0).cast("long")))
 
 
