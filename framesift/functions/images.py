@@ -606,7 +606,7 @@ def _color_blocks(blocks: np.ndarray, three: bool) -> np.ndarray:
     """n x 16 x 4 pixels of 8-byte colour blocks; `three` allows the mode with a clear fourth entry."""
     c0, c1 = blocks[:, :4].copy().view("<u2").astype(np.int64).T
     a, b = _colors_565(c0), _colors_565(c1)
-    four = ~three | (c0 > c1) if three else np.ones(len(blocks), bool)
+    four = c0 > c1 if three else np.ones(len(blocks), bool)
     table = np.full((len(blocks), 4, 4), 255, np.int64)
     table[:, 0, :3], table[:, 1, :3] = a, b
     table[:, 2, :3] = np.where(four[:, None], (2 * a + b) // 3, (a + b) // 2)
