@@ -43,7 +43,7 @@ def test_query(spark, duck, name):
 def test_red(spark, duck):
     """A changed constant must show."""
     sql = catalogue.oracle_sql()["fixed_predictor_cost"]
-    sql = sql.replace("2 * (e) - 1", "2 * (e) + 1")
+    sql = sql.replace("THEN 2 * (e)", "THEN 3 * (e)")
     assert rows(catalogue.queries()["fixed_predictor_cost"](spark, SF).toPandas()) != rows(duck.sql(sql).df())
 
 
