@@ -59,21 +59,42 @@ def unpack(table: pa.Table) -> pa.Table:
     return rows.take(pc.sort_indices(rows.select(["row", "text"]), [("row", "ascending"), ("text", "ascending")])).combine_chunks()
 
 
-def planes(values: np.ndarray, size: int | None = None) -> bytes:
-    """Numbers as byte planes, the lowest bytes first; planes of zeros compress to nothing."""
-    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
-    return raw[:, : size or raw.shape[1]].T.tobytes()
-
-
-def unplaned(blobs: list[bytes], dtype, size: int | None = None) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    out = []
-    for blob in blobs:
-        raw = np.frombuffer(blob, np.uint8).reshape(size or width, -1)
-        whole = np.zeros((raw.shape[1], width), np.uint8)
-        whole[:, : raw.shape[0]] = raw.T
-        out.append(whole.view(dtype).ravel())
-    return np.concatenate(out) if out else np.zeros(0, dtype)
+def matrix(columns: dict[str, np.ndarray], widths: dict[str, tuple]) -> np.ndarray:
+    """Columns of numbers as byte planes, a row a plane: planes of zeros compress to nothing."""
+    n = len(next(iter(columns.values())))
+    out = np.empty((sum(w for _, w in widths.values()), n), np.uint8)
+    at = 0
+    for name, (dtype, width) in widths.items():
+        raw = np.ascontiguousarray(columns[name], dtype).view(np.uint8).reshape(n, np.dtype(dtype).itemsize)
+        out[at : at + width] = raw[:, :width].T
+        at += width
+    return out
+
+
+def cut(part: np.ndarray, columns: dict[str, np.ndarray], widths: dict[str, tuple]) -> list[tuple[int, bytes]]:
+    """(part, byte planes of its rows) in order of part."""
+    if not len(part):
+        return []
+    by = np.argsort(part, kind="stable")
+    part = part[by]
+    whole = matrix({k: v[by] for k, v in columns.items()}, widths)
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    last = np.append(first[1:], len(part))
+    return [(p, whole[:, a:b].tobytes()) for p, a, b in zip(part[first].tolist(), first.tolist(), last.tolist(), strict=True)]
+
+
+def columns_of(blobs: list[bytes], widths: dict[str, tuple]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The columns of all blobs, and the number of rows of each blob."""
+    height = sum(w for _, w in widths.values())
+    parts = [np.frombuffer(x, np.uint8).reshape(height, len(x) // height) for x in blobs]
+    whole = np.concatenate(parts, axis=1) if parts else np.zeros((height, 0), np.uint8)
+    out, at = {}, 0
+    for name, (dtype, width) in widths.items():
+        raw = np.zeros((whole.shape[1], np.dtype(dtype).itemsize), np.uint8)
+        raw[:, :width] = whole[at : at + width].T
+        out[name] = raw.view(dtype).ravel()
+        at += width
+    return out, np.array([p.shape[1] for p in parts], np.int64)
 
 
 def split_by(part: np.ndarray, *columns: np.ndarray) -> list[tuple]:

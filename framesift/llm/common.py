@@ -63,13 +63,15 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, in
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every input bit (two xor-multiply rounds)."""
     h = h ^ (h >> U64(32))
-    h = h * U64(0xD6E8FEB86659FD93)
+    h *= U64(0xD6E8FEB86659FD93)
     h ^= h >> U64(29)
     h *= U64(0xA0761D6478BD642F)
     h ^= h >> U64(32)
     return h
 
 
+#: each byte plus one
+ABOVE = np.arange(1, 257, dtype=U64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -88,7 +90,9 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     """S with S[i] = sum over j < i of (byte j + 1) * BASE**j; see range_hash."""
     out = np.zeros(len(data) + 1, dtype=U64)
     if len(data):
-        np.cumsum((data.astype(U64) + U64(1)) * powers(BASE, len(data)), out=out[1:])
+        terms = ABOVE[data]
+        terms *= powers(BASE, len(data))
+        np.cumsum(terms, out=out[1:])
     return out
 
 

@@ -1,19 +1,23 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words. A line goes when an earlier one, in order of document id and line, has a
-Jaccard similarity of `threshold` or more, judged on the input. Lines of under `least` different words stay.
-
-1. Words are counted over all documents, in a table of a fixed number of hashed slots; the order of words
-   is by that count, rarest first. Any one order gives the same result, a better one fewer candidates.
-2. Each chunk sends its lines' prefixes: a line of n words has n - ceil(t n) + 1 of them, and two similar
-   lines share one. An entry has the word's hash, its position, the line's size and a 64-bit sketch.
-3. Lines that share a word are candidates if their sizes, the words left after the shared one, and the
-   sketches, whose distance never exceeds the number of words that only one line has, allow it.
-4. Chunks fetch the words of the candidates and verify the Jaccard similarity.
-
-Where a word joins a dense family of lines, a later line names only some of its candidates; if none of
-these is verified, the line comes back and is held against every earlier line. So pairs grow with the
-lines, not with the square of a family, and nothing is lost.
+A line is the set of its shingles of five words (a shorter line: of all its words). A line goes when an
+earlier one, in order of document id and line, has a Jaccard similarity of `THRESHOLD` or more, judged on
+the input. Lines of under `least` words stay.
+
+1. Shingles are counted over all documents, in a table of a fixed number of hashed slots; their order is
+   by that count, rarest first. Any one order gives the same result, a better one fewer candidates.
+2. Each chunk sends its lines' prefixes: a line of n shingles has n - ceil(t n) + 1 of them, and two
+   similar lines share one. An entry has the shingle's hash, its position, the line's size, a sketch
+   and a check sum of the set. Of lines with equal sets in one chunk only the first sends entries.
+3. Lines that share a shingle are candidates if their sizes, the shingles left after the shared one, and
+   the sketches, whose distance never exceeds the number of shingles that only one line has, allow it.
+4. Chunks fetch the shingles of the candidates and verify the Jaccard similarity. Where size and check sum
+   are equal, the 64-bit sum over the set is compared instead.
+
+For each shingle, lines with equal sets name the first of them only, and the firsts name all candidates
+among them. Where a shingle joins a dense family of different sets, a line names a few only; if none of
+these is verified and there are more, the line comes back and is held against every earlier line. So pairs
+grow with the lines, not with the square of a family, and nothing is lost.
 """
 
 from __future__ import annotations
@@ -27,22 +31,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.chunks import CHUNK_BYTES, deal, planes, split_by, unpack, unplaned
+from framesift.llm.chunks import CHUNK_BYTES, columns_of, cut, deal, split_by, unpack
 from framesift.llm.common import U64, checkpoint_dir, mix, prefix_hash, range_hash, steps, text_bytes, total_bytes
 
 THRESHOLD = Fraction(4, 5)
 LEAST_WORDS = 3
+SHINGLE = 5
+#: odd multipliers of the words of a shingle: powers of one, by rule
+TERMS = [pow(0xBF58476D1CE4E5B9, i, 1 << 64) for i in range(SHINGLE)]
 SLOTS = 1 << 20
 RANGE_BYTES = 4 << 20
-#: candidates that a line of a dense family names first
+#: candidates that a line of a dense family names first for each shingle
 FIRST = 4
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 PAIRS = 1 << 21
-#: entries of one word above which leaders name candidates
-DENSE = 64
+#: bytes of text tokenised at once: few enough for a core's cache
+STEP = 1 << 17
+#: different sets of one shingle above which leaders name candidates
+DENSE = 256
+#: where all candidates of the dense families are so many times the entries of a part at most, all are named
+SPARE = 4
+#: pairs of a dense family that are looked at for that
+SQUARE = 1 << 24
 
 
 def needed(size, t: Fraction = THRESHOLD):
@@ -68,22 +81,51 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start, range_hash(prefix_hash(LOWER[raw]), start, end)
 
 
+def shingles(start: np.ndarray, hashes: np.ndarray, of: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines and hashes of the shingles of words that are in order of line, and the number of words of each line."""
+    size = np.bincount(of, minlength=lines)
+    first = np.cumsum(size) - size
+    take = np.minimum(size, SHINGLE)
+    number = np.where(size > 0, size - take + 1, 0)
+    line = np.repeat(np.arange(lines), number)
+    at = np.arange(len(line)) - np.repeat(np.cumsum(number) - number - first, number)
+    total = np.zeros(len(line), U64)
+    if len(hashes):
+        padded = np.concatenate([hashes, np.zeros(SHINGLE, U64)])
+        short = np.flatnonzero(take[line] < SHINGLE)
+        for i in range(SHINGLE):
+            part = padded[at + i]
+            part[short[take[line[short]] <= i]] = 0
+            part *= U64(TERMS[i])
+            total += part
+    return line, mix(total), size
+
+
+def line_shingles(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of all lines of the texts of a buffer."""
+    start, hashes = words(raw, offsets)
+    cuts = np.unique(np.concatenate([offsets, np.flatnonzero(raw == 10) + 1]))
+    return shingles(start, hashes, np.searchsorted(cuts, start, "right") - 1, len(cuts))[1]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, np.int64)
     for batch in batches:
         raw, offsets = text_bytes(batch.column(0))
-        for a, b in steps(offsets):
-            _, found = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            total += np.bincount((found & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-    yield pa.record_batch({"n": pa.array([zlib.compress(planes(total), 1)], pa.binary())})
+        slots = [np.zeros(0, np.int64)]
+        for a, b in steps(offsets, STEP):
+            found = line_shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            slots.append((found & U64(SLOTS - 1)).astype(np.int64))
+        total += np.bincount(np.concatenate(slots), minlength=SLOTS)
+    yield pa.record_batch({"n": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, np.int64)
     for batch in batches:
         for blob in batch.column(0):
-            total += unplaned([zlib.decompress(blob.as_py())], np.int64)
-    yield pa.record_batch({"n": pa.array([zlib.compress(planes(total), 1)], pa.binary())})
+            total += np.frombuffer(zlib.decompress(blob.as_py()), np.int64)
+    yield pa.record_batch({"n": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def word_ranks(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -91,7 +133,7 @@ def word_ranks(docs: DataFrame, text_col: str) -> np.ndarray:
     parts = docs.select(F.col(text_col).cast("string")).mapInArrow(_count, "n binary").repartition(8).mapInArrow(_add, "n binary")
     total = np.zeros(SLOTS, np.int64)
     for row in parts.collect():
-        total += unplaned([zlib.decompress(row.n)], np.int64)
+        total += np.frombuffer(zlib.decompress(row.n), np.int64)
     return np.minimum(511, 12 * np.log2(total + 1)).astype(np.uint16)
 
 
@@ -116,25 +158,32 @@ class Lines:
     def find(self, row: np.ndarray, line: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.row, row, "left") + line
 
-    def sets(self, which: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Different words of each of the (ascending) lines in the order of words, and offsets by line."""
-        found, sizes = [np.zeros(0, U64)], np.zeros(len(which), np.int64)
+    def sets(self, which: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different shingles of each of the (ascending) lines in their order, offsets by line, and words of each line."""
+        found, sizes, long = [np.zeros(0, U64)], np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
         lengths = self.end[which] - self.start[which] + 1
         bounds = np.concatenate([[0], np.cumsum(lengths)])
-        for a, b in steps(bounds):
+        for a, b in steps(bounds, STEP):
             part, base = which[a:b], bounds[a]
             place = np.repeat(self.start[part] - (bounds[a:b] - base), lengths[a:b]) + np.arange(bounds[b] - base)
             raw = np.append(self.raw, np.uint8(10))[place]
             raw[bounds[a + 1 : b + 1] - base - 1] = 10
             start, hashes = words(raw, np.zeros(1, np.int64))
             of = np.searchsorted(bounds[a : b + 1] - base, start, "right") - 1
+            of, hashes, long[a:b] = shingles(start, hashes, of, b - a)
             order = (ranks[(hashes & U64(SLOTS - 1)).astype(np.int64)].astype(U64) << U64(36)) | (hashes >> U64(28))
-            by = np.argsort((of.astype(U64) << U64(45)) | order, kind="stable")
+            by = np.argsort((of.astype(U64) << U64(45)) | order)
             of, hashes = of[by], hashes[by]
             fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1]))[: len(of)]
             found.append(hashes[fresh])
             sizes[a:b] = np.bincount(of[fresh], minlength=b - a)
-        return np.concatenate(found), np.concatenate([[0], np.cumsum(sizes)])
+        return np.concatenate(found), np.concatenate([[0], np.cumsum(sizes)]), long
+
+
+def set_sums(found: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set, a sum that equal sets share, and the sketch: parities of 32 classes of its members."""
+    mixed = mix(found ^ U64(0x8EBC6AF09C88C6E3))
+    return _reduce(np.add, mixed, offsets), _reduce(np.bitwise_xor, U64(1) << (mixed & U64(31)), offsets).astype(np.uint32)
 
 
 def _reduce(f, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -146,53 +195,56 @@ def _reduce(f, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-ENTRY = {"word": (np.uint64, 5), "size": (np.uint32, None), "at": (np.uint32, None), "sketch": (np.uint64, None), "row": (np.int64, None), "line": (np.uint32, None)}
-ENTRY_SCHEMA = "part long, chunk long, " + ", ".join(f"{k} binary" for k in ENTRY)
+ENTRY = {"word": (np.uint64, 5), "size": (np.uint32, 4), "at": (np.uint32, 4), "sketch": (np.uint32, 4), "check": (np.uint32, 4), "row": (np.int64, 8), "line": (np.uint32, 4)}
+ENTRY_SCHEMA = "part long, chunk long, entries binary"
 
 
-def _entries(lines: Lines, chunk: int, which: np.ndarray, ranks: np.ndarray, parts: int, least: int, once: bool) -> list[tuple]:
-    """Prefix entries of the given lines by part; of equal sets of a chunk only the first, if `once`."""
-    found, offsets = lines.sets(which, ranks)
+def _entries(lines: Lines, which: np.ndarray, ranks: np.ndarray, parts: int, least: int, once: bool) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+    """Prefix entries of the given lines by part; if `once`, of equal sets only the first's, and the other lines' places."""
+    found, offsets, long = lines.sets(which, ranks)
     size = np.diff(offsets)
-    mixed = mix(found ^ U64(0x8EBC6AF09C88C6E3))
-    total = _reduce(np.add, mixed, offsets)
-    use = size >= least
-    if once and len(which):
-        first = np.zeros(len(which), bool)
-        first[np.unique(total[use], return_index=True)[1]] = True
-        use[np.flatnonzero(use)[~first[: use.sum()]]] = False
-    sketch = _reduce(np.bitwise_xor, U64(1) << (mixed & U64(63)), offsets)
+    total, sketch = set_sums(found, offsets)
+    use = long >= least
+    repeats = np.zeros(0, np.int64)
+    if once:
+        at = np.flatnonzero(use)
+        fresh = np.zeros(len(at), bool)
+        fresh[np.unique(total[at], return_index=True)[1]] = True
+        repeats = which[at[~fresh]]
+        use[at[~fresh]] = False
     prefix = np.where(use, size - needed(size) + 1, 0)
     of = np.repeat(np.arange(len(which)), prefix)
     at = np.arange(len(of)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
     word = mix(found[offsets[:-1][of] + at])
-    return split_by(
-        (word % U64(parts)).astype(np.int64), word >> U64(24), size[of].astype(np.uint32), at.astype(np.uint32), sketch[of],
-        lines.row[which][of], lines.line[which][of].astype(np.uint32),
-    )
+    columns = {"word": word >> U64(24), "size": size[of], "at": at, "sketch": sketch[of], "check": (total >> U64(32)).astype(np.uint32)[of], "row": lines.row[which][of], "line": lines.line[which][of]}
+    rows = cut((word % U64(parts)).astype(np.int64), columns, ENTRY)
+    return rows, repeats
 
 
-def _entry_table(rows: list[tuple], chunk: int) -> pa.Table:
-    columns = {"part": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64())}
-    for i, (name, (_, width)) in enumerate(ENTRY.items(), 1):
-        columns[name] = pa.array([planes(r[i], width) for r in rows], pa.binary())
-    return pa.table(columns)
+def _entry_table(rows: list[tuple[int, bytes]], chunk: int) -> pa.Table:
+    return pa.table(
+        {"part": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "entries": pa.array([r[1] for r in rows], pa.binary())}
+    )
 
 
 def _send(ranks, parts: int, least: int):
     def send(table: pa.Table) -> pa.Table:
         lines = Lines(table)
         chunk = table.column("chunk")[0].as_py()
-        return _entry_table(_entries(lines, chunk, np.arange(len(lines.row)), ranks.value, parts, least, True), chunk)
+        rows, repeats = _entries(lines, np.arange(len(lines.row)), ranks.value, parts, least, True)
+        if len(repeats):
+            # a part of its own brings the repeats of a chunk back to it
+            none = np.zeros(len(repeats), np.int64)
+            columns = dict.fromkeys(ENTRY, none) | {"row": lines.row[repeats], "line": lines.line[repeats]}
+            rows += cut(none + parts + chunk, columns, ENTRY)
+        return _entry_table(rows, chunk)
 
     return send
 
 
 def _read_entries(table: pa.Table) -> dict[str, np.ndarray]:
-    out = {k: unplaned(table.column(k).to_pylist(), t, width) for k, (t, width) in ENTRY.items()}
-    n = [len(x) // 5 for x in table.column("word").to_pylist()]
-    out["chunk"] = np.repeat(table.column("chunk").to_numpy(), n) if n else np.zeros(0, np.int64)
-    return out
+    out, n = columns_of(table.column("entries").to_pylist(), ENTRY)
+    return out | {"chunk": np.repeat(table.column("chunk").to_numpy(), n)}
 
 
 def _may_match(e: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -205,14 +257,29 @@ def _may_match(e: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return ok & ((e["row"][i] != e["row"][j]) | (e["line"][i] != e["line"][j]))
 
 
+MORE, SAME, KNOWN = 1, 2, 4
+
+
+def _firsts(e: dict) -> tuple[np.ndarray, np.ndarray]:
+    """For entries in order of word, row and line: the first entry of the same word and set, and those that are it."""
+    by = np.lexsort((e["check"], e["size"], e["word"]))
+    fresh = np.ones(len(by), bool)
+    if len(by):
+        fresh[1:] = np.logical_or.reduce([e[k][by][1:] != e[k][by][:-1] for k in ("word", "size", "check")])
+    first = np.empty(len(by), np.int64)
+    first[by] = by[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+    return first, np.flatnonzero(first == np.arange(len(by)))
+
+
 def _group_pairs(e: dict, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates (earlier, later) of entries in order of word, row and line; and whether the later one has more."""
-    n = len(e["word"])
-    first = np.flatnonzero(np.append(True, e["word"][1:] != e["word"][:-1])) if n else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, n))
-    out_i, out_j, out_more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    small = (size > 1) & (size <= DENSE)
-    member = np.flatnonzero(np.repeat(small, size))
+    """Candidates (earlier, later) of entries in order of word, row and line, and their flags."""
+    first_of, kept = _firsts(e)
+    repeats = np.flatnonzero(first_of != np.arange(len(first_of)))
+    out = [(first_of[repeats], repeats, np.full(len(repeats), SAME, np.uint8))]
+    word = e["word"][kept]
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(kept) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(kept)))
+    member = np.flatnonzero(np.repeat((size > 1) & (size <= DENSE), size))
     before = member - np.repeat(first, size)[member]
     total = np.cumsum(before)
     start = 0
@@ -221,66 +288,61 @@ def _group_pairs(e: dict, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         count = before[start:end]
         j = np.repeat(member[start:end], count)
         i = j - np.repeat(count, count) + (np.arange(len(j)) - np.repeat(np.cumsum(count) - count, count))
+        i, j = kept[i], kept[j]
         ok = _may_match(e, i, j)
-        i, j = i[ok], j[ok]
-        fresh = np.append(True, j[1:] != j[:-1])[: len(j)]
-        nth = np.arange(len(j)) - np.repeat(np.flatnonzero(fresh), np.diff(np.append(np.flatnonzero(fresh), len(j))))
-        more = np.zeros(len(j), bool)
-        more[:-1] = (nth[:-1] == most - 1) & (j[1:] == j[:-1])
-        keep = nth < most
-        out_i.append(i[keep])
-        out_j.append(j[keep])
-        out_more.append(more[keep])
+        out.append((i[ok], j[ok], np.zeros(int(ok.sum()), np.uint8)))
         start = end
-    for a, n_members in zip(first[size > DENSE].tolist(), size[size > DENSE].tolist(), strict=True):
-        group = np.arange(a, a + n_members)
-        named = np.zeros(n_members, np.int64)
-        last = np.full(n_members, -1)
-        for k in range(n_members):
-            if named[k] >= 1:
+    left = SPARE * len(first_of)
+    for a, n in sorted(zip(first[size > DENSE].tolist(), size[size > DENSE].tolist(), strict=True), key=lambda g: g[1]):
+        group = kept[a : a + n]
+        if n * n <= SQUARE:
+            found = [(k, past[_may_match(e, past, np.full(k, group[k]))]) for k in range(1, n) for past in (group[:k],)]
+            number = sum(len(past) for _, past in found)
+            if number <= left:
+                left -= number
+                later = np.repeat(group[[k for k, _ in found]], [len(past) for _, past in found])
+                out.append((np.concatenate([past for _, past in found]), later, np.zeros(number, np.uint8)))
+                continue
+        named = np.zeros(n, np.int64)
+        for k in range(n):
+            if named[k]:
                 continue
             # no leader has named it: it is held against all before it, then leads those after it
             past = group[:k][_may_match(e, group[:k], np.full(k, group[k]))]
-            out_i.append(past[:most])
-            out_j.append(np.full(len(past[:most]), group[k]))
-            out_more.append(np.full(len(past[:most]), len(past) > most))
-            follow = np.flatnonzero(_may_match(e, np.full(n_members - k - 1, group[k]), group[k + 1 :])) + k + 1
-            new = follow[named[follow] < most]
+            some = past[:most]
+            out.append((some, np.full(len(some), group[k]), np.full(len(some), MORE * (len(past) > most), np.uint8)))
+            free = np.flatnonzero(named[k + 1 :] < most) + k + 1
+            new = free[_may_match(e, np.full(len(free), group[k]), group[free])]
             named[new] += 1
-            last[new] = group[k]
-            out_i.append(np.full(len(new), group[k]))
-            out_j.append(group[new])
-            out_more.append(np.ones(len(new), bool))
-    return np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_more)
+            out.append((np.full(len(new), group[k]), group[new], np.full(len(new), MORE, np.uint8)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-PAIR = {"row": np.int64, "line": np.uint32, "to_chunk": np.int64, "to_row": np.int64, "to_line": np.uint32, "more": np.bool_}
-PAIR_SCHEMA = "chunk long, " + ", ".join(f"{k} binary" for k in PAIR)
+PAIR = {"row": (np.int64, 8), "line": (np.uint32, 4), "to_chunk": (np.int64, 4), "to_row": (np.int64, 8), "to_line": (np.uint32, 4), "flags": (np.uint8, 1)}
+PAIR_SCHEMA = "chunk long, pairs binary"
 
 
-def _pair_table(e: dict, i: np.ndarray, f: dict, j: np.ndarray, more: np.ndarray) -> pa.Table:
+def _pair_table(e: dict, i: np.ndarray, j: np.ndarray, flags: np.ndarray) -> pa.Table:
     """Candidates by the chunk of the earlier line; each pair once a part."""
-    pair = np.zeros(len(i), [("a", "<i8"), ("b", "<u4"), ("c", "<i8"), ("d", "<u4"), ("m", "?")])
-    pair["a"], pair["b"], pair["c"], pair["d"], pair["m"] = e["row"][i], e["line"][i], f["row"][j], f["line"][j], more
-    by = np.lexsort((~pair["m"], pair["d"], pair["c"], pair["b"], pair["a"]))
-    pair, chunk, to = pair[by], e["chunk"][i][by], f["chunk"][j][by]
-    same = np.zeros(len(pair), bool)
-    same[1:] = (pair["a"][1:] == pair["a"][:-1]) & (pair["b"][1:] == pair["b"][:-1]) & (pair["c"][1:] == pair["c"][:-1]) & (pair["d"][1:] == pair["d"][:-1])
-    pair, chunk, to = pair[~same], chunk[~same], to[~same]
-    rows = split_by(chunk, pair["a"], pair["b"], to, pair["c"], pair["d"], pair["m"])
-    columns = {"chunk": pa.array([r[0] for r in rows], pa.int64())}
-    for k, name in enumerate(PAIR, 1):
-        columns[name] = pa.array([planes(r[k]) for r in rows], pa.binary())
-    return pa.table(columns)
-
-
-def _pairs(most: int):
+    pair = {"row": e["row"][i], "line": e["line"][i], "to_chunk": e["chunk"][j], "to_row": e["row"][j], "to_line": e["line"][j], "flags": flags}
+    by = np.lexsort((flags & MORE ^ MORE, pair["to_line"], pair["to_row"], pair["line"], pair["row"]))
+    pair, chunk = {k: v[by] for k, v in pair.items()}, e["chunk"][i][by]
+    fresh = np.ones(len(by), bool)
+    if len(by):
+        fresh[1:] = np.logical_or.reduce([pair[k][1:] != pair[k][:-1] for k in ("row", "line", "to_row", "to_line")])
+    rows = cut(chunk[fresh], {k: v[fresh] for k, v in pair.items()}, PAIR)
+    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "pairs": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _pairs(most: int, parts: int):
     def pairs(table: pa.Table) -> pa.Table:
         e = _read_entries(table)
+        if table.column("part")[0].as_py() >= parts:
+            own = np.arange(len(e["row"]))
+            return _pair_table(e, own, own, np.full(len(own), KNOWN, np.uint8))
         by = np.lexsort((e["line"], e["row"], e["word"]))
         e = {k: v[by] for k, v in e.items()}
-        i, j, more = _group_pairs(e, most)
-        return _pair_table(e, i, e, j, more)
+        return _pair_table(e, *_group_pairs(e, most))
 
     return pairs
 
@@ -301,78 +363,82 @@ def _all_pairs(open_entries: pa.Table, table: pa.Table) -> pa.Table:
         out_i.append(i[ok])
         out_j.append(j[ok])
     i, j = np.concatenate(out_i), np.concatenate(out_j)
-    return _pair_table(both, i, both, j, np.zeros(len(i), bool))
+    return _pair_table(both, i, j, np.zeros(len(i), np.uint8))
 
 
-FETCH = {"row": np.int64, "line": np.uint32, "of": np.uint32, "more": np.bool_, "size": np.uint32, "words": np.uint64}
-FETCH_SCHEMA = "chunk long, " + ", ".join(f"{k} binary" for k in FETCH)
+LATER = {"row": (np.int64, 8), "line": (np.uint32, 4), "of": (np.uint32, 4), "flags": (np.uint8, 1)}
+SETS = {"sum": (np.uint64, 8), "size": (np.uint32, 4)}
+FETCH_SCHEMA = "chunk long, later binary, sets binary, words binary"
 
 
 def _fetch(ranks):
-    """Sends the words of earlier lines to the chunks of the later ones."""
+    """Sends the sets of earlier lines to the chunks of the later ones; where SAME, only the sum and no members."""
 
     def fetch(table: pa.Table, asked: pa.Table) -> pa.Table:
         rows = []
         if table.num_rows and asked.num_rows:
             lines = Lines(table)
-            p = {k: unplaned(asked.column(k).to_pylist(), t) for k, t in PAIR.items()}
+            p, _ = columns_of(asked.column("pairs").to_pylist(), PAIR)
             where = lines.find(p["row"], p["line"].astype(np.int64))
             which, of = np.unique(where, return_inverse=True)
-            found, offsets = lines.sets(which, ranks.value)
-            for chunk, row, line, source, more in split_by(p["to_chunk"], p["to_row"], p["to_line"], of, p["more"]):
+            found, offsets, _ = lines.sets(which, ranks.value)
+            total, _ = set_sums(found, offsets)
+            # a line is sent with its members where any of a chunk's lines needs them
+            of = of * 2 + (p["flags"] & (SAME | KNOWN) > 0)
+            for chunk, row, line, source, flags in split_by(p["to_chunk"], p["to_row"], p["to_line"], of, p["flags"]):
                 used, place = np.unique(source, return_inverse=True)
-                size = np.diff(offsets)[used]
-                at = np.repeat(offsets[used] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                values = (row, line, place.astype(np.uint32), more, size.astype(np.uint32), found[at])
-                rows.append((chunk, *(planes(v) for v in values)))
-        columns = {"chunk": pa.array([r[0] for r in rows], pa.int64())}
-        for k, name in enumerate(FETCH, 1):
-            columns[name] = pa.array([r[k] for r in rows], pa.binary())
-        return pa.table(columns)
+                size = np.where(used % 2 == 0, np.diff(offsets)[used // 2], 0)
+                at = np.repeat(offsets[used // 2] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                whole = np.zeros(len(row), np.int64), np.zeros(len(used), np.int64)
+                later = cut(whole[0], {"row": row, "line": line, "of": place, "flags": flags}, LATER)
+                sets = cut(whole[1], {"sum": total[used // 2], "size": size}, SETS)
+                rows.append((chunk, later[0][1], sets[0][1], found[at].tobytes()))
+        names = ("chunk", "later", "sets", "words")
+        return pa.table({k: pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i, k in enumerate(names)})
 
     return fetch
 
 
-def _verify(ranks, least: int, once: bool):
+def _verify(ranks):
     """row, line, gone: lines with a verified earlier match (true), or open ones that have more candidates (false)."""
 
     def verify(table: pa.Table, sent: pa.Table) -> pa.Table:
-        out_row, out_line, out_gone = [], [], []
-        if table.num_rows:
+        row, line, gone = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        if table.num_rows and sent.num_rows:
             lines = Lines(table)
-            gone, again = np.zeros(len(lines.row), bool), np.zeros(len(lines.row), bool)
-            for record in sent.select(list(FETCH)).to_pylist():
-                p = {k: unplaned([record[k]], t) for k, t in FETCH.items()}
-                later = lines.find(p["row"], p["line"].astype(np.int64))
-                which, of = np.unique(later, return_inverse=True)
-                found, offsets = lines.sets(which, ranks.value)
-                owner = np.repeat(np.arange(len(which)), np.diff(offsets))
-                salted = lambda w, o: mix(w + mix(o.astype(U64) + U64(1)))
-                known = np.sort(salted(found, owner))
-                ends = np.cumsum(p["size"].astype(np.int64))
-                begins = ends - p["size"]
-                size = p["size"].astype(np.int64)[p["of"]]
-                pair = np.repeat(np.arange(len(of)), size)
-                place = np.repeat(begins[p["of"]] - (np.cumsum(size) - size), size) + np.arange(len(pair))
-                key = salted(p["words"][place], of[pair])
-                at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-                common = np.bincount(pair[known[at] == key] if len(known) else pair[:0], minlength=len(of))
-                other = np.diff(offsets)[of]
-                union = size + other - common
-                similar = common * THRESHOLD.denominator >= union * THRESHOLD.numerator
-                gone[later[similar]] = True
-                again[later[p["more"]]] = True
-            if once:
-                found, offsets = lines.sets(np.arange(len(lines.row)), ranks.value)
-                total, size = _reduce(np.add, mix(found ^ U64(0x8EBC6AF09C88C6E3)), offsets), np.diff(offsets)
-                use = np.flatnonzero(size >= least)
-                first = np.unique(total[use], return_index=True)[1]
-                repeats = np.ones(len(use), bool)
-                repeats[first] = False
-                gone[use[repeats]] = True
-            told = np.flatnonzero(gone | again)
-            out_row, out_line, out_gone = lines.row[told], lines.line[told], gone[told]
-        return pa.table({"row": pa.array(out_row, pa.int64()), "line": pa.array(out_line, pa.int64()), "gone": pa.array(out_gone, pa.bool_())})
+            p, pairs_of = columns_of(sent.column("later").to_pylist(), LATER)
+            sets, sets_of = columns_of(sent.column("sets").to_pylist(), SETS)
+            members = np.frombuffer(b"".join(sent.column("words").to_pylist()), U64)
+            source = p["of"].astype(np.int64) + np.repeat(np.cumsum(sets_of) - sets_of, pairs_of)
+            later = lines.find(p["row"], p["line"].astype(np.int64))
+            open_pairs = np.flatnonzero(p["flags"] & KNOWN == 0)
+            which, of = np.unique(later[open_pairs], return_inverse=True)
+            found, offsets, _ = lines.sets(which, ranks.value)
+            total, _ = set_sums(found, offsets)
+            source, flags = source[open_pairs], p["flags"][open_pairs]
+            same = flags & SAME > 0
+            similar = same & (sets["sum"][source] == total[of])
+            owner = np.repeat(np.arange(len(which)), np.diff(offsets))
+            salted = lambda w, o: mix(w + mix(o.astype(U64) + U64(1)))
+            known = np.sort(salted(found, owner))
+            sizes = sets["size"].astype(np.int64)
+            begins = np.cumsum(sizes) - sizes
+            size = sizes[source]
+            pair = np.repeat(np.arange(len(of)), size)
+            place = np.repeat(begins[source] - (np.cumsum(size) - size), size) + np.arange(len(pair))
+            key = salted(members[place], of[pair])
+            at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+            common = np.bincount(pair[known[at] == key] if len(known) else pair[:0], minlength=len(of))
+            union = size + np.diff(offsets)[of] - common
+            similar |= ~same & (common * THRESHOLD.denominator >= union * THRESHOLD.numerator)
+            done, again = np.zeros(len(lines.row), bool), np.zeros(len(lines.row), bool)
+            done[later[p["flags"] & KNOWN > 0]] = True
+            done[which[of[similar]]] = True
+            # a sum that differs although size and check sum agree leaves the pair open as well
+            again[which[of[(flags & MORE > 0) | (same & ~similar)]]] = True
+            told = np.flatnonzero(done | again)
+            row, line, gone = lines.row[told], lines.line[told], done[told]
+        return pa.table({"row": pa.array(row, pa.int64()), "line": pa.array(line, pa.int64()), "gone": pa.array(gone, pa.bool_())})
 
     return verify
 
@@ -384,7 +450,7 @@ def _reopen(ranks, parts: int, least: int):
             lines = Lines(table)
             chunk = table.column("chunk")[0].as_py()
             which = np.unique(lines.find(asked.column("row").to_numpy(), asked.column("line").to_numpy()))
-            rows = _entries(lines, chunk, which, ranks.value, parts, least, False)
+            rows, _ = _entries(lines, which, ranks.value, parts, least, False)
         return _entry_table(rows, chunk)
 
     return send
@@ -424,7 +490,7 @@ def line_dedup(
     """docs with the later ones of similar lines removed from the text, and n_lines and n_removed.
 
     Lines end at a line feed; words are what white space (tab to carriage return, space) separates, in
-    lower case for A-Z. Lines of under `least` different words, empty ones too, stay. Null texts become
+    lower case for A-Z. Lines of under `least` words, empty ones too, stay. Null texts become
     empty; a text may become empty, its row stays. Missing ids sort after all others, by a hash of the
     text. Rows that share an id count as one document in order of their texts; a fully equal row repeats
     its lines. Other columns keep their values; they may not be called n_lines or n_removed.
@@ -437,17 +503,17 @@ def line_dedup(
     entries = dealt.groupBy("chunk").applyInArrow(_send(ranks, parts, least), ENTRY_SCHEMA)
     verdict_schema = "row long, line long, gone boolean"
 
-    def verified(pairs: DataFrame, once: bool) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         sent = dealt.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_fetch(ranks), FETCH_SCHEMA)
-        told = dealt.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(_verify(ranks, least, once), verdict_schema)
+        told = dealt.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(_verify(ranks), verdict_schema)
         return told.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks))).checkpoint()
 
-    verdicts = verified(entries.groupBy("part").applyInArrow(_pairs(first), PAIR_SCHEMA), True)
+    verdicts = verified(entries.groupBy("part").applyInArrow(_pairs(first, parts), PAIR_SCHEMA))
     left = verdicts.where("not gone")
     if not left.isEmpty():
         opened = dealt.groupBy("chunk").cogroup(left.groupBy("chunk")).applyInArrow(_reopen(ranks, parts, least), ENTRY_SCHEMA)
         again = opened.groupBy("part").cogroup(entries.groupBy("part")).applyInArrow(_all_pairs, PAIR_SCHEMA)
-        verdicts = verdicts.unionByName(verified(again, False))
+        verdicts = verdicts.unionByName(verified(again))
     gone = verdicts.where("gone").select("chunk", "row", "line")
     rest = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
     done = dealt.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(
