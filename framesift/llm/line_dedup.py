@@ -37,8 +37,8 @@ from framesift.llm.common import U64, checkpoint_dir, mix, prefix_hash, range_ha
 THRESHOLD = Fraction(4, 5)
 LEAST_WORDS = 3
 SHINGLE = 5
-#: odd multipliers of the words of a shingle: powers of one, by rule
-TERMS = [pow(0xBF58476D1CE4E5B9, i, 1 << 64) for i in range(SHINGLE)]
+#: odd multiplier whose powers are the weights of the words of a shingle
+TERM = 0xBF58476D1CE4E5B9
 SLOTS = 1 << 20
 RANGE_BYTES = 4 << 20
 #: candidates that a line of a dense family names first for each shingle
@@ -81,40 +81,40 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start, range_hash(prefix_hash(LOWER[raw]), start, end)
 
 
-def shingles(start: np.ndarray, hashes: np.ndarray, of: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(hashes: np.ndarray, of: np.ndarray, lines: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lines and hashes of the shingles of words that are in order of line, and the number of words of each line."""
     size = np.bincount(of, minlength=lines)
     first = np.cumsum(size) - size
-    take = np.minimum(size, SHINGLE)
+    take = np.minimum(size, width)
     number = np.where(size > 0, size - take + 1, 0)
     line = np.repeat(np.arange(lines), number)
     at = np.arange(len(line)) - np.repeat(np.cumsum(number) - number - first, number)
     total = np.zeros(len(line), U64)
     if len(hashes):
-        padded = np.concatenate([hashes, np.zeros(SHINGLE, U64)])
-        short = np.flatnonzero(take[line] < SHINGLE)
-        for i in range(SHINGLE):
+        padded = np.concatenate([hashes, np.zeros(width, U64)])
+        short = np.flatnonzero(take[line] < width)
+        for i in range(width):
             part = padded[at + i]
             part[short[take[line[short]] <= i]] = 0
-            part *= U64(TERMS[i])
+            part *= U64(pow(TERM, i, 1 << 64))
             total += part
     return line, mix(total), size
 
 
-def line_shingles(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def line_shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the shingles of all lines of the texts of a buffer."""
     start, hashes = words(raw, offsets)
     cuts = np.unique(np.concatenate([offsets, np.flatnonzero(raw == 10) + 1]))
-    return shingles(start, hashes, np.searchsorted(cuts, start, "right") - 1, len(cuts))[1]
+    return shingles(hashes, np.searchsorted(cuts, start, "right") - 1, len(cuts), width)[1]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, np.int64)
     for batch in batches:
         raw, offsets = text_bytes(batch.column(0))
         slots = [np.zeros(0, np.int64)]
         for a, b in steps(offsets, STEP):
-            found = line_shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            found = line_shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
             slots.append((found & U64(SLOTS - 1)).astype(np.int64))
         total += np.bincount(np.concatenate(slots), minlength=SLOTS)
     yield pa.record_batch({"n": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
@@ -128,9 +128,9 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"n": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def word_ranks(docs: DataFrame, text_col: str) -> np.ndarray:
+def word_ranks(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     """A class of frequency for each slot, 0 to 511; the table's size is fixed."""
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(_count, "n binary").repartition(8).mapInArrow(_add, "n binary")
+    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(lambda it: _count(it, width), "n binary").repartition(8).mapInArrow(_add, "n binary")
     total = np.zeros(SLOTS, np.int64)
     for row in parts.collect():
         total += np.frombuffer(zlib.decompress(row.n), np.int64)
@@ -158,8 +158,9 @@ class Lines:
     def find(self, row: np.ndarray, line: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.row, row, "left") + line
 
-    def sets(self, which: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sets(self, which: np.ndarray, order: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different shingles of each of the (ascending) lines in their order, offsets by line, and words of each line."""
+        ranks, width = order
         found, sizes, long = [np.zeros(0, U64)], np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
         lengths = self.end[which] - self.start[which] + 1
         bounds = np.concatenate([[0], np.cumsum(lengths)])
@@ -170,9 +171,9 @@ class Lines:
             raw[bounds[a + 1 : b + 1] - base - 1] = 10
             start, hashes = words(raw, np.zeros(1, np.int64))
             of = np.searchsorted(bounds[a : b + 1] - base, start, "right") - 1
-            of, hashes, long[a:b] = shingles(start, hashes, of, b - a)
-            order = (ranks[(hashes & U64(SLOTS - 1)).astype(np.int64)].astype(U64) << U64(36)) | (hashes >> U64(28))
-            by = np.argsort((of.astype(U64) << U64(45)) | order)
+            of, hashes, long[a:b] = shingles(hashes, of, b - a, width)
+            rarity = (ranks[(hashes & U64(SLOTS - 1)).astype(np.int64)].astype(U64) << U64(36)) | (hashes >> U64(28))
+            by = np.argsort((of.astype(U64) << U64(45)) | rarity)
             of, hashes = of[by], hashes[by]
             fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1]))[: len(of)]
             found.append(hashes[fresh])
@@ -199,7 +200,7 @@ ENTRY = {"word": (np.uint64, 5), "size": (np.uint32, 4), "at": (np.uint32, 4), "
 ENTRY_SCHEMA = "part long, chunk long, entries binary"
 
 
-def _entries(lines: Lines, which: np.ndarray, ranks: np.ndarray, parts: int, least: int, once: bool) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+def _entries(lines: Lines, which: np.ndarray, ranks: tuple[np.ndarray, int], parts: int, least: int, once: bool) -> tuple[list[tuple[int, bytes]], np.ndarray]:
     """Prefix entries of the given lines by part; if `once`, of equal sets only the first's, and the other lines' places."""
     found, offsets, long = lines.sets(which, ranks)
     size = np.diff(offsets)
@@ -486,10 +487,12 @@ def line_dedup(
     text_col: str = "text",
     chunk_bytes: int = CHUNK_BYTES,
     first: int = FIRST,
+    shingle: int = SHINGLE,
 ) -> DataFrame:
     """docs with the later ones of similar lines removed from the text, and n_lines and n_removed.
 
-    Lines end at a line feed; words are what white space (tab to carriage return, space) separates, in
+    `shingle` is the number of words of a token; 1 takes single words, which matches lines with more edits and
+    costs more, as a rare word joins more lines than a rare shingle. Lines end at a line feed; words are what white space (tab to carriage return, space) separates, in
     lower case for A-Z. Lines of under `least` words, empty ones too, stay. Null texts become
     empty; a text may become empty, its row stays. Missing ids sort after all others, by a hash of the
     text. Rows that share an id count as one document in order of their texts; a fully equal row repeats
@@ -498,7 +501,7 @@ def line_dedup(
     checkpoint_dir(docs.sparkSession)
     size = total_bytes(docs, text_col)
     chunks, parts = max(64, -(-size // chunk_bytes)), max(64, -(-size // RANGE_BYTES))
-    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col))
+    ranks = docs.sparkSession.sparkContext.broadcast((word_ranks(docs, text_col, shingle), shingle))
     dealt = deal(docs, chunks, id_col, text_col, others=True)
     entries = dealt.groupBy("chunk").applyInArrow(_send(ranks, parts, least), ENTRY_SCHEMA)
     verdict_schema = "row long, line long, gone boolean"

@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framesift.llm.chunks import split_by
 from framesift.llm.common import BASE, BASE_INVERSE, U64, mix, powers, text_bytes, total_bytes
 
 WIDTH = 50
@@ -252,18 +253,6 @@ def placed(part: np.ndarray | int, short: np.ndarray) -> np.ndarray:
     return (np.asarray(part).astype(U64) << U64(40)) ^ short
 
 
-def split_by(part: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-    """(part, column slices) in order of part, each slice in its old order."""
-    if not len(part):
-        return []
-    by = np.argsort(part, kind="stable")
-    part = part[by]
-    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    last = np.append(first[1:], len(part))
-    columns = [c[by] for c in columns]
-    return [(int(part[a]), *(c[a:b] for c in columns)) for a, b in zip(first, last, strict=True)]
-
-
 def _ask(width: int, key_bytes: int, ranges: int):
     def ask(table: pa.Table) -> pa.Table:
         once, many = Fragments(table, width, key_bytes).asked()
@@ -477,7 +466,7 @@ def suffix_dedup(
     size = total_bytes(docs, text_col)
     chunks, ranges = max(64, -(-size // chunk_bytes)), max(64, -(-size // range_bytes))
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk"), "row", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = rows.select(F.pmod(F.xxhash64(F.coalesce("row", F.xxhash64("text"))), F.lit(chunks)).alias("chunk"), "row", F.coalesce("text", F.lit("")).alias("text"))
     asked = dealt.groupBy("chunk").applyInArrow(
         _ask(width, key_bytes, ranges), "part long, chunk long, once binary, many binary"
     )
