@@ -53,6 +53,10 @@ def _image_again(codec: str):
         whole = np.dstack([grey, grey, grey, np.full_like(grey, 255)])
         if codec == "png":
             back = I.decode_png(I.encode_png(whole))
+        elif codec == "webp":
+            from framesift.functions import webp
+
+            back = webp.decode_webp(webp.encode_webp(whole))
         elif codec == "bmp":
             back = I.decode_bmp(I.encode_bmp(whole))
         else:
@@ -63,7 +67,53 @@ def _image_again(codec: str):
     return lambda spark, sf: _pictures(spark, sf).mapInArrow(_mapped(work, out), "vec_id long, i long, v long")
 
 
-png_encode_decode, bmp_encode_decode, gif_encode_decode = (_image_again(c) for c in ("png", "bmp", "gif"))
+png_encode_decode, bmp_encode_decode, gif_encode_decode, webp_encode_decode = (_image_again(c) for c in ("png", "bmp", "gif", "webp"))
+
+
+def range_coder_roundtrip(spark, sf):
+    """Bytes as symbols of a uniform model and as numbers with raw bits, through the range coder."""
+
+    def work(row: dict) -> list[dict]:
+        from framesift.functions.entropy import RangeDecoder, RangeEncoder
+
+        data = row["text"].encode()
+        maker = RangeEncoder()
+        for b in data:
+            maker.put(b, b + 1, 256)
+            maker.number(b * 7, 2000)
+        reader = RangeDecoder(maker.finish(4 * len(data) + 8))
+        flat, back = list(range(257)), bytearray()
+        for _ in data:
+            b = reader.get(flat)
+            if reader.number(2000) == b * 7:
+                back.append(b)
+        return [{"item_id": row["item_id"], "text": back.decode("utf-8", "replace")}]
+
+    out = pa.schema([("item_id", pa.int64()), ("text", pa.string())])
+    return table(spark, sf, "benchmark").select("item_id", "text").mapInArrow(_mapped(work, out), "item_id long, text string")
+
+
+def huffman_code(spark, sf):
+    """Per language, whether a prefix code over byte counts is complete and within a bit a symbol of the entropy."""
+    from framesift.operators.bytestreams import byte_histogram
+
+    counts = byte_histogram(table(spark, sf, "documents"), ["lang"], _text("text"))
+    rows = counts.groupBy("lang").agg(F.collect_list(F.struct("b", "n")).alias("c"))
+
+    def work(row: dict) -> list[dict]:
+        from framesift.functions.entropy import code_lengths
+
+        n = np.zeros(256, np.int64)
+        for c in row["c"]:
+            n[c["b"]] = c["n"]
+        lengths = np.array(code_lengths(n.tolist(), 32))
+        used = n > 0
+        entropy = float(-(n[used] * np.log2(n[used] / n.sum())).sum())
+        bits = float((n * lengths).sum())
+        return [{"lang": row["lang"], "complete": bool((2.0 ** -lengths[used]).sum() == 1), "near_entropy": bool(entropy <= bits < entropy + n.sum())}]
+
+    out = pa.schema([("lang", pa.string()), ("complete", pa.bool_()), ("near_entropy", pa.bool_())])
+    return rows.mapInArrow(_mapped(work, out), "lang string, complete boolean, near_entropy boolean")
 
 
 def jpeg_quality(spark, sf):
@@ -210,6 +260,9 @@ SQL = {name: f"SELECT {key}, md5({c}) AS digest, CAST(strlen({c}) AS BIGINT) AS
     "png_encode_decode": f"SELECT vec_id, i, v FROM {P8}",
     "bmp_encode_decode": f"SELECT vec_id, i, v FROM {P8}",
     "gif_encode_decode": f"SELECT vec_id, i, v FROM {P8}",
+    "webp_encode_decode": f"SELECT vec_id, i, v FROM {P8}",
+    "range_coder_roundtrip": "SELECT item_id, text FROM benchmark",
+    "huffman_code": "SELECT DISTINCT lang, true AS complete, true AS near_entropy FROM documents",
     "jpeg_quality": "SELECT vec_id, true AS close, CAST(64 AS BIGINT) AS pixels FROM embeddings",
     "flac_roundtrip": TRACK,
     "wav_roundtrip": TRACK,

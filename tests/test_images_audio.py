@@ -6,6 +6,7 @@ import pytest
 from framesift.functions import audio as A
 from framesift.functions import images as I  # noqa: E741
 from framesift.functions.codecs import Damaged
+from framesift.functions.webp import decode_webp, encode_webp
 
 RNG = np.random.default_rng(4)
 
@@ -23,6 +24,7 @@ def test_lossless():
     for p in pictures():
         assert (I.decode_png(I.encode_png(p)) == p).all()
         assert (I.decode_bmp(I.encode_bmp(p, True)) == p).all()
+        assert (decode_webp(encode_webp(p)) == p).all()
         few = p // 128 * 100
         few[..., 3] = 255
         frames = I.decode_gif(I.encode_gif([few, few[::-1]], [50, 70]))
