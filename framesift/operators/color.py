@@ -82,14 +82,22 @@ def predicted_blocks(pixels: DataFrame, id_col: str, size: int = 4) -> DataFrame
     Above is the last row of the block above (127 outside), left the last column of the block left (129), the
     corner the pixel between (127 above the picture, 129 left of it). Ties go to the first mode.
     """
-    bx, by = F.floor(F.col("x") / size), F.floor(F.col("y") / size)
-    whole = pixels.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * 1000 + F.col("x")).alias("k"), "v"))).alias("near"))
-    rows = pixels.join(whole, id_col).withColumn("bx", bx.cast("long")).withColumn("by", by.cast("long"))
-    look = lambda x, y: F.try_element_at("near", (y * 1000 + x).cast("long"))
-    x0, y0 = F.col("bx") * size, F.col("by") * size
-    up = F.when(F.col("by") == 0, 127).otherwise(look(F.col("x"), y0 - 1))
-    left = F.when(F.col("bx") == 0, 129).otherwise(look(x0 - 1, F.col("y")))
-    corner = F.when(F.col("by") == 0, 127).when(F.col("bx") == 0, 129).otherwise(look(x0 - 1, y0 - 1))
+    across, down = Window.partitionBy(id_col, "y").orderBy("x"), Window.partitionBy(id_col, "x").orderBy("y")
+
+    def before_block(c: str, w, at: Column) -> Column:
+        """The last value before the block that a row is in, by how far inside the block the row is."""
+        out = F.lit(None)
+        for k in range(size):
+            out = F.when(at == k, F.lag(c, k + 1).over(w)).otherwise(out)
+        return out
+
+    x0, y0 = F.floor(F.col("x") / size) * size, F.floor(F.col("y") / size) * size
+    rows = pixels.withColumn("bx", F.floor(F.col("x") / size).cast("long")).withColumn("by", F.floor(F.col("y") / size).cast("long"))
+    rows = rows.withColumn("u", before_block("v", down, F.col("y") % size)).withColumn("l", before_block("v", across, F.col("x") % size))
+    rows = rows.withColumn("c", before_block("u", across, F.col("x") % size))
+    up = F.when(F.col("by") == 0, 127).otherwise(F.col("u"))
+    left = F.when(F.col("bx") == 0, 129).otherwise(F.col("l"))
+    corner = F.when(F.col("by") == 0, 127).when(F.col("bx") == 0, 129).otherwise(F.col("c"))
     near = rows.select(id_col, "x", "y", "v", "bx", "by", up.alias("u"), left.alias("l"), corner.alias("c"))
     block = Window.partitionBy(id_col, "bx", "by")
     total = F.sum(F.when(F.col("y") == y0, F.col("u")).otherwise(0)).over(block) + F.sum(F.when(F.col("x") == x0, F.col("l")).otherwise(0)).over(block)
