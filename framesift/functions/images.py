@@ -1,4 +1,4 @@
-"""Still-image codecs on NumPy arrays: PNG, BMP, GIF, baseline JPEG and block textures.
+"""Still-image codecs on NumPy arrays: PNG, BMP, GIF, JPEG and block textures.
 
 A picture is an array of height x width x 4 bytes (RGBA) unless a function says otherwise.
 """
@@ -383,7 +383,7 @@ def decode_gif(data: bytes) -> list[dict]:
     return out
 
 
-# baseline and progressive share the tables; baseline is decoded
+# JPEG
 
 ZIGZAG = np.array([x for d in range(15) for x in (lambda c: c if d % 2 else c[::-1])([i * 8 + d - i for i in range(max(0, d - 7), min(7, d) + 1)])])
 COSINES = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
@@ -420,8 +420,8 @@ def _huffman(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
 
 
 def decode_jpeg(data: bytes) -> np.ndarray:
-    """Baseline JPEG, grey or YCbCr, any sampling factors up to 4, restart intervals, EXIF orientation."""
-    quant, tables, frame, restart, turn = {}, {}, None, 0, 1
+    """Baseline and progressive JPEG, grey or YCbCr, sampling factors up to 4, restart intervals, EXIF orientation."""
+    quant, tables, picture, restart, turn = {}, {}, None, 0, 1
     for m in jpeg_markers(data):
         body, kind = m["data"], m["marker"]
         if kind == 0xDB:
@@ -436,83 +436,187 @@ def decode_jpeg(data: bytes) -> np.ndarray:
                 counts = body[at + 1 : at + 17]
                 tables[body[at]] = _huffman(counts, body[at + 17 : at + 17 + sum(counts)])
                 at += 17 + sum(counts)
-        elif kind in (0xC0, 0xC1):
+        elif kind in (0xC0, 0xC1, 0xC2):
             _, height, width, n = struct.unpack_from(">BHHB", body)
-            frame = (height, width, [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)])
-        elif 0xC2 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            raise Damaged("jpeg: not a baseline picture")
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+            picture = _Picture(height, width, parts, kind == 0xC2)
+        elif 0xC3 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            raise Damaged("jpeg: an arithmetic, lossless or hierarchical picture")
         elif kind == 0xDD:
             restart = int.from_bytes(body, "big")
         elif kind == 0xE1 and body[:6] == b"Exif\0\0":
             turn = exif_orientation(body)
         elif kind == 0xDA:
-            if frame is None:
+            if picture is None:
                 raise Damaged("jpeg: a scan before the frame")
-            return turned(_jpeg_scan(m["scan"], body, frame, quant, tables, restart), turn)
-    raise Damaged("jpeg: no scan")
-
-
-def _jpeg_scan(scan: bytes, head: bytes, frame: tuple, quant: dict, tables: dict, restart: int) -> np.ndarray:
-    height, width, parts = frame
-    chosen = {head[1 + 2 * i]: head[2 + 2 * i] for i in range(head[0])}
-    hmax, vmax = max(p[1] for p in parts), max(p[2] for p in parts)
-    across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
-    planes = [np.zeros((down * v * 8, across * h * 8)) for _, h, v, _ in parts]
-    pieces, at = [], 0
-    for i in range(len(scan) - 1):
-        if scan[i] == 255 and 0xD0 <= scan[i + 1] <= 0xD7:
-            pieces.append(scan[at:i])
-            at = i + 2
-    pieces.append(scan[at:])
-    unit = 0
-    for piece in pieces:
-        bits = _Bits(piece.replace(b"\xff\x00", b"\xff"))
-        last = [0] * len(parts)
-
-        def symbol(table: dict, bits: _Bits = bits) -> int:
+            picture.scan(m["scan"], body, tables, restart)
+    if picture is None:
+        raise Damaged("jpeg: no scan")
+    return turned(picture.pixels(quant), turn)
+
+
+class _Picture:
+    """Coefficients of all blocks, filled by one scan or several."""
+
+    def __init__(self, height: int, width: int, parts: list[tuple], progressive: bool):
+        self.height, self.width, self.parts, self.progressive = height, width, parts, progressive
+        self.hmax, self.vmax = max(p[1] for p in parts), max(p[2] for p in parts)
+        self.across, self.down = -(-width // (8 * self.hmax)), -(-height // (8 * self.vmax))
+        self.blocks = [np.zeros((self.down * v, self.across * h, 64), np.int64) for _, h, v, _ in parts]
+
+    def scan(self, data: bytes, head: bytes, tables: dict, restart: int) -> None:
+        names = [p[0] for p in self.parts]
+        try:
+            chosen = [(names.index(head[1 + 2 * i]), head[2 + 2 * i]) for i in range(head[0])]
+            first, last, bits = head[1 + 2 * head[0] : 4 + 2 * head[0]]
+        except (ValueError, IndexError):
+            raise Damaged("jpeg: a bad scan header") from None
+        high, low = bits >> 4, bits & 15
+        pieces, at = [], 0
+        for i in range(len(data) - 1):
+            if data[i] == 255 and 0xD0 <= data[i + 1] <= 0xD7:
+                pieces.append(data[at:i])
+                at = i + 2
+        pieces.append(data[at:])
+        if len(chosen) == 1:
+            i = chosen[0][0]
+            _, h, v, _ = self.parts[i]
+            wide = -(-(-(-self.width * h // self.hmax)) // 8)
+            tall = -(-(-(-self.height * v // self.vmax)) // 8)
+            units = [[(i, chosen[0][1], y, x)] for y in range(tall) for x in range(wide)]
+        else:
+            units = [
+                [(i, t, my * self.parts[i][2] + b // self.parts[i][1], mx * self.parts[i][1] + b % self.parts[i][1])
+                 for i, t in chosen for b in range(self.parts[i][1] * self.parts[i][2])]
+                for my in range(self.down) for mx in range(self.across)
+            ]
+        size = restart or len(units)
+        for piece, start in zip(pieces, range(0, len(units), size), strict=False):
+            reader = _ScanReader(piece.replace(b"\xff\x00", b"\xff"), tables)
+            for unit in units[start : start + size]:
+                for i, t, y, x in unit:
+                    block = self.blocks[i][y, x]
+                    if not self.progressive:
+                        reader.baseline(block, i, t)
+                    elif first == 0:
+                        reader.dc(block, i, t, high, low)
+                    elif high == 0:
+                        reader.ac_first(block, t, first, last, low)
+                    else:
+                        reader.ac_again(block, t, first, last, low)
+
+    def pixels(self, quant: dict) -> np.ndarray:
+        full = []
+        for blocks, (_, h, v, q) in zip(self.blocks, self.parts, strict=True):
+            if q not in quant:
+                raise Damaged("jpeg: no quantisation table")
+            plain = np.zeros(blocks.shape)
+            plain[..., ZIGZAG] = blocks * quant[q]
+            square = COSINES.T @ plain.reshape(*blocks.shape[:2], 8, 8) @ COSINES
+            plane = square.transpose(0, 2, 1, 3).reshape(blocks.shape[0] * 8, -1)
+            full.append(np.repeat(np.repeat(plane, self.vmax // v, axis=0), self.hmax // h, axis=1)[: self.height, : self.width] + 128)
+        out = np.full((self.height, self.width, 4), 255, np.uint8)
+        byte = lambda a: np.clip(np.rint(a), 0, 255).astype(np.uint8)
+        if len(full) == 1:
+            out[..., :3] = byte(full[0])[..., None]
+        else:
+            y, cb, cr = full[0], full[1] - 128, full[2] - 128
+            for i, c in enumerate((y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb)):
+                out[..., i] = byte(c)
+        return out
+
+
+class _ScanReader:
+    """The state of one restart interval: bits, last DC values, blocks left without coefficients."""
+
+    def __init__(self, data: bytes, tables: dict):
+        self.bits, self.tables, self.last, self.skip = _Bits(data), tables, {}, 0
+
+    def symbol(self, number: int) -> int:
+        table = self.tables.get(number)
+        if table is not None:
             for size in range(1, 17):
-                found = table.get((size, bits.peek(size)))
+                found = table.get((size, self.bits.peek(size)))
                 if found is not None:
-                    bits.take(size)
+                    self.bits.take(size)
                     return found
-            raise Damaged("jpeg: a code is not in the table")
-
-        def signed(n: int, bits: _Bits = bits) -> int:
-            value = bits.take(n)
-            return value if not n or value >> n - 1 else value - (1 << n) + 1
-
-        for _ in range(min(restart or across * down, across * down - unit)):
-            my, mx = divmod(unit, across)
-            unit += 1
-            for i, (name, h, v, q) in enumerate(parts):
-                dc, ac = tables[chosen[name] >> 4], tables[16 | chosen[name] & 15]
-                for b in range(h * v):
-                    block = np.zeros(64)
-                    last[i] += signed(symbol(dc))
-                    block[0] = last[i]
-                    k = 1
-                    while k < 64:
-                        s = symbol(ac)
-                        if s == 0:
-                            break
-                        k += s >> 4
-                        if s & 15 and k < 64:
-                            block[k] = signed(s & 15)
+        raise Damaged("jpeg: a code is not in the table")
+
+    def signed(self, n: int) -> int:
+        value = self.bits.take(n)
+        return value if not n or value >> n - 1 else value - (1 << n) + 1
+
+    def baseline(self, block: np.ndarray, part: int, t: int) -> None:
+        self.last[part] = self.last.get(part, 0) + self.signed(self.symbol(t >> 4))
+        block[0] = self.last[part]
+        k = 1
+        while k < 64:
+            s = self.symbol(16 | t & 15)
+            if s == 0:
+                break
+            k += s >> 4
+            if s & 15 and k < 64:
+                block[k] = self.signed(s & 15)
+            k += 1
+
+    def dc(self, block: np.ndarray, part: int, t: int, high: int, low: int) -> None:
+        if high:
+            block[0] |= self.bits.take(1) << low
+        else:
+            self.last[part] = self.last.get(part, 0) + self.signed(self.symbol(t >> 4))
+            block[0] = self.last[part] << low
+
+    def _run(self, r: int) -> int:
+        return (1 << r) + self.bits.take(r)
+
+    def ac_first(self, block: np.ndarray, t: int, first: int, last: int, low: int) -> None:
+        if self.skip:
+            self.skip -= 1
+            return
+        k = first
+        while k <= last:
+            s = self.symbol(16 | t & 15)
+            run, n = s >> 4, s & 15
+            if n == 0 and run < 15:
+                self.skip = self._run(run) - 1
+                return
+            k += run
+            if n and k <= last:
+                block[k] = self.signed(n) * (1 << low)
+            k += 1
+
+    def ac_again(self, block: np.ndarray, t: int, first: int, last: int, low: int) -> None:
+        step, k = 1 << low, first
+
+        def correct(i: int) -> None:
+            if self.bits.take(1) and not abs(int(block[i])) & step:
+                block[i] += step if block[i] > 0 else -step
+
+        if not self.skip:
+            while k <= last:
+                s = self.symbol(16 | t & 15)
+                run, value = s >> 4, 0
+                if s & 15:
+                    value = step if self.bits.take(1) else -step
+                elif run < 15:
+                    self.skip = self._run(run)
+                    break
+                while k <= last:
+                    if block[k]:
+                        correct(k)
+                    elif run == 0:
+                        if value:
+                            block[k] = value
                         k += 1
-                    plain = np.zeros(64)
-                    plain[ZIGZAG] = block * quant[q]
-                    y, x = (my * v + b // h) * 8, (mx * h + b % h) * 8
-                    planes[i][y : y + 8, x : x + 8] = COSINES.T @ plain.reshape(8, 8) @ COSINES
-    full = [np.repeat(np.repeat(p, vmax // v, axis=0), hmax // h, axis=1)[:height, :width] + 128 for p, (_, h, v, _) in zip(planes, parts, strict=True)]
-    out = np.full((height, width, 4), 255, np.uint8)
-    byte = lambda a: np.clip(np.rint(a), 0, 255).astype(np.uint8)
-    if len(full) == 1:
-        out[..., :3] = byte(full[0])[..., None]
-    else:
-        y, cb, cr = full[0], full[1] - 128, full[2] - 128
-        for i, c in enumerate((y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb)):
-            out[..., i] = byte(c)
-    return out
+                        break
+                    else:
+                        run -= 1
+                    k += 1
+        if self.skip:
+            for i in range(k, last + 1):
+                if block[i]:
+                    correct(i)
+            self.skip -= 1
 
 
 def turned(pixels: np.ndarray, orientation: int) -> np.ndarray:
@@ -526,16 +630,110 @@ def turned(pixels: np.ndarray, orientation: int) -> np.ndarray:
     return np.ascontiguousarray(pixels)
 
 
-def _standard_counts(symbols: Sequence[int]) -> tuple[bytes, bytes]:
-    """A prefix code of equal lengths, one bit pattern short of full, for a few symbols."""
+def _flat_code(symbols: Sequence[int]) -> tuple[bytes, bytes]:
+    """A prefix code of equal lengths, one bit pattern short of full, for a picture's own symbols."""
     size = max(1, len(symbols).bit_length())
     counts = bytearray(16)
     counts[size - 1] = len(symbols)
     return bytes(counts), bytes(symbols)
 
 
-def encode_jpeg(pixels: np.ndarray, quality: int = 90) -> bytes:
-    """Baseline YCbCr without subsampling; the codes fit the picture's own symbols."""
+def _magnitude(v: int) -> tuple[int, int]:
+    n = abs(v).bit_length()
+    return n, v if v >= 0 else v + (1 << n) - 1
+
+
+def _ac_marks(block: Sequence[int]) -> list[tuple[int, int, int]]:
+    """(symbol, extra bits, their number) of coefficients after the first, with an end mark where zeros are left."""
+    out, zeros = [], 0
+    for v in block:
+        if not v:
+            zeros += 1
+            continue
+        while zeros > 15:
+            out.append((0xF0, 0, 0))
+            zeros -= 16
+        n, extra = _magnitude(v)
+        out.append((zeros << 4 | n, extra, n))
+        zeros = 0
+    return out + [(0, 0, 0)] * (zeros > 0)
+
+
+def _ac_refinement(block: Sequence[int]) -> list[tuple[int, int, int]]:
+    """The same for the last bit of coefficients whose higher bits were sent before."""
+    out, zeros, waiting = [], 0, []
+    newest = max((k for k, v in enumerate(block) if abs(v) == 1), default=-1)
+
+    def put(s: int, extra: int, n: int) -> None:
+        for bit in waiting:
+            extra, n = extra << 1 | bit, n + 1
+        out.append((s, extra, n))
+        waiting.clear()
+
+    for k, v in enumerate(block):
+        if not v:
+            zeros += 1
+            continue
+        while zeros > 15 and k <= newest:
+            put(0xF0, 0, 0)
+            zeros -= 16
+        if abs(v) > 1:
+            waiting.append(abs(v) & 1)
+            continue
+        put(zeros << 4 | 1, int(v > 0), 1)
+        zeros = 0
+    if zeros or waiting:
+        put(0, 0, 0)
+    return out
+
+
+def _jpeg_scans(coded: list[np.ndarray], progressive: bool) -> list[tuple[bytes, list[tuple[int, int, int, int]]]]:
+    """(scan header, marks) of each scan; a mark is (class, symbol, extra, bits), class 2 raw bits."""
+    order = [(i, y, x) for y in range(coded[0].shape[0]) for x in range(coded[0].shape[1]) for i in range(3)]
+    three = b"\3\1\0\2\0\3\0"
+    low = int(progressive)
+
+    def dc() -> list:
+        last, marks = [0, 0, 0], []
+        for i, y, x in order:
+            value = int(coded[i][y, x, 0]) >> low
+            n, extra = _magnitude(value - last[i])
+            last[i] = value
+            marks.append((0, n, extra, n))
+            if not progressive:
+                marks += [(1, *m) for m in _ac_marks(coded[i][y, x, 1:].tolist())]
+        return marks
+
+    scans = [(three + (b"\0\0\1" if progressive else b"\0\x3f\0"), dc())]
+    if progressive:
+        for i in range(3):
+            marks: list = []
+            run = 0
+            for block in coded[i].reshape(-1, 64)[:, 1:].tolist():
+                found = _ac_marks([(abs(v) >> 1) * (1 if v > 0 else -1) for v in block])
+                ended = found[-1][0] == 0
+                if run and len(found) > ended:
+                    n = run.bit_length() - 1
+                    marks.append((1, n << 4, run - (1 << n), n))
+                    run = 0
+                marks += [(1, *m) for m in (found[:-1] if ended else found)]
+                run += ended
+                if run == 0x7FFF:
+                    marks.append((1, 14 << 4, run - (1 << 14), 14))
+                    run = 0
+            if run:
+                n = run.bit_length() - 1
+                marks.append((1, n << 4, run - (1 << n), n))
+            scans.append((bytes([1, i + 1, 0, 1, 63, 1]), marks))
+        scans.append((three + b"\0\0\x10", [(2, 0, int(coded[i][y, x, 0]) & 1, 1) for i, y, x in order]))
+        for i in range(3):
+            marks = [(1, *m) for block in coded[i].reshape(-1, 64)[:, 1:].tolist() for m in _ac_refinement(block)]
+            scans.append((bytes([1, i + 1, 0, 1, 63, 0x10]), marks))
+    return scans
+
+
+def encode_jpeg(pixels: np.ndarray, quality: int = 90, progressive: bool = False) -> bytes:
+    """YCbCr without subsampling, baseline or with two bit planes in seven scans; codes fit the picture's symbols."""
     h, w = pixels.shape[:2]
     rgb = pixels[..., :3].astype(np.float64)
     r, g, b = rgb[..., 0], rgb[..., 1], rgb[..., 2]
@@ -547,51 +745,30 @@ def encode_jpeg(pixels: np.ndarray, quality: int = 90) -> bytes:
         padded = np.pad(plane, ((0, -h % 8), (0, -w % 8)), mode="edge")
         blocks = padded.reshape(padded.shape[0] // 8, 8, -1, 8).transpose(0, 2, 1, 3)
         coded.append(np.rint(COSINES @ blocks @ COSINES.T / step).astype(np.int64).reshape(*blocks.shape[:2], 64)[..., ZIGZAG])
-    marks: list[tuple[int, int, int, int]] = []
-    last = [0, 0, 0]
-    for y in range(coded[0].shape[0]):
-        for x in range(coded[0].shape[1]):
-            for i in range(3):
-                block = coded[i][y, x].tolist()
-                d, last[i] = block[0] - last[i], block[0]
-                n = abs(d).bit_length()
-                marks.append((0, n, d if d >= 0 else d + (1 << n) - 1, n))
-                zeros = 0
-                for v in block[1:]:
-                    if not v:
-                        zeros += 1
-                        continue
-                    while zeros > 15:
-                        marks.append((1, 0xF0, 0, 0))
-                        zeros -= 16
-                    n = abs(v).bit_length()
-                    marks.append((1, zeros << 4 | n, v if v >= 0 else v + (1 << n) - 1, n))
-                    zeros = 0
-                if zeros:
-                    marks.append((1, 0, 0, 0))
-    trees = []
-    for kind in (0, 1):
-        counts, symbols = _standard_counts(sorted({s for k, s, _, _ in marks if k == kind}) or [0])
-        trees.append((counts, symbols, {v: k for k, v in _huffman(counts, symbols).items()}))
-    acc = have = 0
-    out = bytearray()
-    for kind, s, extra, n in marks:
-        size, code = trees[kind][2][s]
-        acc, have = (acc << size | code) << n | extra, have + size + n
-        while have >= 8:
-            byte = acc >> have - 8 & 255
-            out += b"\xff\0" if byte == 255 else bytes([byte])
-            have -= 8
-            acc &= (1 << have) - 1
-    if have:
-        byte = (acc << 8 - have | (1 << 8 - have) - 1) & 255
-        out += b"\xff\0" if byte == 255 else bytes([byte])
     segment = lambda m, body: b"\xff" + bytes([m]) + struct.pack(">H", len(body) + 2) + body
-    head = segment(0xDB, b"\0" + step.ravel()[ZIGZAG].astype(np.uint8).tobytes())
-    head += segment(0xC0, struct.pack(">BHHB", 8, h, w, 3) + bytes(v for i in range(3) for v in (i + 1, 0x11, 0)))
-    for kind, (counts, symbols, _) in enumerate(trees):
-        head += segment(0xC4, bytes([kind << 4]) + counts + symbols)
-    return b"\xff\xd8" + head + segment(0xDA, b"\3\1\0\2\0\3\0\0\x3f\0") + bytes(out) + b"\xff\xd9"
+    out = b"\xff\xd8" + segment(0xDB, b"\0" + step.ravel()[ZIGZAG].astype(np.uint8).tobytes())
+    out += segment(0xC2 if progressive else 0xC0, struct.pack(">BHHB", 8, h, w, 3) + bytes(v for i in range(3) for v in (i + 1, 0x11, 0)))
+    for head, marks in _jpeg_scans(coded, progressive):
+        codes = {}
+        for kind in (0, 1):
+            counts, symbols = _flat_code(sorted({s for k, s, _, _ in marks if k == kind}) or [0])
+            codes[kind] = {v: k for k, v in _huffman(counts, symbols).items()}
+            out += segment(0xC4, bytes([kind << 4]) + counts + symbols)
+        acc = have = 0
+        data = bytearray()
+        for kind, s, extra, n in marks:
+            size, code = codes[kind][s] if kind < 2 else (0, 0)
+            acc, have = (acc << size | code) << n | extra, have + size + n
+            while have >= 8:
+                byte = acc >> have - 8 & 255
+                data += b"\xff\0" if byte == 255 else bytes([byte])
+                have -= 8
+                acc &= (1 << have) - 1
+        if have:
+            byte = (acc << 8 - have | (1 << 8 - have) - 1) & 255
+            data += b"\xff\0" if byte == 255 else bytes([byte])
+        out += segment(0xDA, head) + bytes(data)
+    return out + b"\xff\xd9"
 
 
 # block textures

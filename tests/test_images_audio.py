@@ -42,6 +42,10 @@ def test_jpeg_is_close():
     y, x = np.mgrid[0:30, 0:45]
     p = np.dstack([x * 5, y * 8, x + y, np.full_like(x, 255)]).astype(np.uint8)
     assert np.abs(I.decode_jpeg(I.encode_jpeg(p, 95)).astype(int) - p).max() <= 4
+    noise = RNG.integers(0, 256, (21, 34, 4), dtype=np.uint8)
+    for picture in (p, noise, p * 0, np.repeat(noise[:, :1], 30, axis=1)):
+        for quality in (60, 95):
+            assert (I.decode_jpeg(I.encode_jpeg(picture, quality, True)) == I.decode_jpeg(I.encode_jpeg(picture, quality))).all()
 
 
 def test_textures():
