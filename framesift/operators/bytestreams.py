@@ -18,18 +18,22 @@ def byte_values(data: Column) -> Column:
     return F.when(F.octet_length(data) > 0, values).otherwise(F.expr("cast(array() AS array<bigint>)"))
 
 
+def byte_characters(data: Column) -> Column:
+    """array<string> of a binary column's bytes, each as the character of its value; ascii() gives the value back."""
+    return F.split(F.decode(data, "ISO-8859-1"), "")
+
+
 def byte_rows(rows: DataFrame, keys: Sequence[str], data: Column) -> DataFrame:
     """keys, i, b: one row a byte, for operators that have no other form."""
-    return rows.select(*keys, F.posexplode(F.split(F.regexp_replace(F.hex(data), "(..)", "$1,"), ",")).alias("i", "h")).where("h <> ''").select(
-        *keys, F.col("i").cast("long").alias("i"), F.conv("h", 16, 10).cast("long").alias("b")
-    )
+    each = rows.select(*keys, F.posexplode(byte_characters(data)).alias("i", "c")).where("c <> ''")
+    return each.select(*keys, F.col("i").cast("long").alias("i"), F.ascii("c").cast("long").alias("b"))
 
 
 def byte_histogram(rows: DataFrame, keys: Sequence[str], data: Column) -> DataFrame:
     """keys, b, n: how often each byte occurs; partial counts leave the map side, never bytes."""
-    each = rows.select(*keys, F.explode(F.split(F.regexp_replace(F.hex(data), "(..)", "$1,"), ",")).alias("h")).where("h <> ''")
-    counts = each.groupBy(*keys, "h").agg(F.count("*").cast("long").alias("n"))
-    return counts.select(*keys, F.conv("h", 16, 10).cast("int").alias("b"), "n")
+    each = rows.select(*keys, F.explode(byte_characters(data)).alias("c")).where("c <> ''")
+    counts = each.groupBy(*keys, "c").agg(F.count("*").cast("long").alias("n"))
+    return counts.select(*keys, F.ascii("c").cast("int").alias("b"), "n")
 
 
 def adler32(rows: DataFrame, key: str, data: Column) -> DataFrame:
