@@ -308,6 +308,22 @@ def _frame_head(data: bytes, at: int, info: dict) -> tuple[int, int, int, int]:
     return place + 1, block, mode, bits
 
 
+def frame_starts(data: bytes) -> list[int]:
+    """Places of frames: every sync code whose whole header has a right checksum and whose frame can be read."""
+    info = {"block": 0, "rate": 0, "channels": 2, "bits": 16}
+    if data[:4] == b"fLaC":
+        packed = int.from_bytes(data[18:26], "big")
+        info = {"block": int.from_bytes(data[10:12], "big"), "rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bits": (packed >> 36 & 31) + 1}
+    out, at = [], 0
+    while (at := data.find(b"\xff", at)) >= 0:
+        try:
+            at, found = _read_frame(data, at, info)[1], at
+            out.append(found)
+        except Damaged:
+            at += 1
+    return out
+
+
 def _read_frame(data: bytes, at: int, info: dict) -> tuple[np.ndarray, int]:
     start, block, mode, bits = _frame_head(data, at, info)
     r = BitReader(data, start)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("prediction", "layout", "pixels", "bytes", "codecs", "streams", "media")
+MODULES = ("prediction", "layout", "pixels", "bytes", "codecs", "streams", "media", "analysis")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

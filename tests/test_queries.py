@@ -48,4 +48,4 @@ def test_red(spark, duck):
 
 
 def test_every_query_but_a_few_has_an_oracle():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"crc32_payload", "checksums", "cluster_cuts", "bit_reservoir"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"crc32_payload", "checksums", "cluster_cuts", "bit_reservoir", "tile_groups"}
