@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from framesift.functions import audio, images, webp
+from framesift.functions import audio, images, vorbis, webp
 from framesift.functions.codecs import Damaged
 from framesift.sources import containers as C
 
@@ -71,13 +71,17 @@ def frames_of(format_: str, data: bytes) -> Iterator[dict]:
 
 
 def pcm_of(format_: str, data: bytes) -> Iterator[dict]:
-    """Interleaved samples of a WAV, AIFF or FLAC file."""
+    """Interleaved samples of a WAV, AIFF, FLAC or Ogg Vorbis file, the last at 16 bits."""
     if format_ == "flac":
         f = audio.decode_flac(data)
         tags = [{"key": k, "value": v} for k, v in f["tags"]]
         yield {k: f[k] for k in ("rate", "channels", "bits", "md5_matches", "bad_frames")} | {"samples": f["samples"].ravel().tolist(), "tags": tags}
     elif format_ in ("wav", "aiff"):
         yield (C.wav if format_ == "wav" else C.aiff)(data) | {"tags": [], "md5_matches": None, "bad_frames": 0}
+    elif format_ == "ogg":
+        f = vorbis.decode_ogg(data)
+        whole = np.clip(np.rint(f["samples"].T.ravel() * 32768), -32768, 32767).astype(int)
+        yield {"rate": f["rate"], "channels": f["channels"], "bits": 16, "samples": whole.tolist(), "tags": [], "md5_matches": None, "bad_frames": 0}
     else:
         raise Damaged(f"no audio in {format_}")
 
