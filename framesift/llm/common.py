@@ -70,19 +70,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+KEPT_POWERS = 1 << 22
 #: each byte plus one
 ABOVE = np.arange(1, 257, dtype=U64)
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the life of the worker."""
+    """base**0 .. base**(n-1) modulo 2**64; up to KEPT_POWERS are kept for the life of the worker."""
     kept = _powers.get(base)
     if kept is None or len(kept) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        # what one very long text needs is not kept
+        size = 1 << max(16, (n - 1).bit_length()) if n <= KEPT_POWERS else n
         kept = np.full(size, base, dtype=U64)
         kept[0] = 1
-        _powers[base] = kept = np.multiply.accumulate(kept)
+        np.multiply.accumulate(kept, out=kept)
+        if size <= KEPT_POWERS:
+            _powers[base] = kept
     return kept[:n]
 
 
