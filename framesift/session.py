@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +33,19 @@ def local_session(app: str = "framesift", cores: str = "8", **conf: str) -> Spar
     spark = builder.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+ROOT = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once, unless their path has it already."""
+    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.sparkContext.applicationId in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="framesift-"), "framesift.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted((ROOT / "framesift").rglob("*.py")):
+            out.write(file, file.relative_to(ROOT))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(spark.sparkContext.applicationId)
