@@ -18,8 +18,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def millis(ts):
-    """Milliseconds since the epoch of a timestamp without zone."""
-    return F.unix_millis(ts.cast("timestamp"))
+    """Milliseconds since 1970 of a timestamp without zone, whatever the session's zone is."""
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86_400_000 + F.hour(ts) * 3_600_000 + F.minute(ts) * 60_000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("long")
 
 
 #: the same views in the oracle's dialect

@@ -21,7 +21,7 @@ def track_offsets(spark, sf):
 
 
 def mux_interleave(spark, sf):
-    made = samples(spark, sf).withColumn("day", F.date_trunc("day", F.col("ts").cast("timestamp")))
+    made = samples(spark, sf).withColumn("day", F.to_date("ts"))
     out = L.interleave(made, ["day"], ["ts"], "user_id", "event_id")
     return out.select("event_id", "user_id", "position")
 

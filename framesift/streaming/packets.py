@@ -16,7 +16,9 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     # a glob, as a path that is one file is no base folder for a stream
     raw = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
-    return raw.select("event_id", F.col("ts").cast("timestamp").alias("at"), "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("x"))
+    # the table's times have no zone; they are read as UTC whatever the session's zone is
+    at = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")
+    return raw.select("event_id", at.alias("at"), "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("x"))
 
 
 def blocks(packets: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
