@@ -1,13 +1,15 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its shingles of five words (a shorter line: of all its words). A line goes when an
+A line is the set of its shingles of so many words (a shorter line: of all its words); the registered query
+and the pipeline take single words. A line goes when an
 earlier one, in order of document id and line, has a Jaccard similarity of `THRESHOLD` or more, judged on
 the input. Lines of under `least` words stay.
 
 1. Shingles are counted over all documents, in a table of a fixed number of hashed slots; their order is
    by that count, rarest first. Any one order gives the same result, a better one fewer candidates.
 2. Each chunk sends its lines' prefixes: a line of n shingles has n - ceil(t n) + 1 of them, and two
-   similar lines share one. An entry has the shingle's hash, its position, the line's size, a sketch
+   similar lines share one. What occurs once in all texts is not sent; a set so small that only an equal
+   one is similar is sent under its sum. An entry has the shingle's hash, its position, the line's size, a sketch
    and a check sum of the set. Of lines with equal sets in one chunk only the first sends entries.
 3. Lines that share a shingle are candidates if their sizes, the shingles left after the shared one, and
    the sketches, whose distance never exceeds the number of shingles that only one line has, allow it.
@@ -39,7 +41,9 @@ LEAST_WORDS = 3
 SHINGLE = 5
 #: odd multiplier whose powers are the weights of the words of a shingle
 TERM = 0xBF58476D1CE4E5B9
-SLOTS = 1 << 20
+SLOTS = 1 << 22
+#: class of frequency of a slot that one occurrence in all texts fills
+ONCE = 12
 RANGE_BYTES = 4 << 20
 #: candidates that a line of a dense family names first for each shingle
 FIRST = 4
@@ -117,14 +121,14 @@ def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             found = line_shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
             slots.append((found & U64(SLOTS - 1)).astype(np.int64))
         total += np.bincount(np.concatenate(slots), minlength=SLOTS)
-    yield pa.record_batch({"n": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+    yield pa.record_batch({"n": pa.array([zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())})
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, np.int64)
     for batch in batches:
         for blob in batch.column(0):
-            total += np.frombuffer(zlib.decompress(blob.as_py()), np.int64)
+            total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
     yield pa.record_batch({"n": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
@@ -134,7 +138,7 @@ def word_ranks(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     total = np.zeros(SLOTS, np.int64)
     for row in parts.collect():
         total += np.frombuffer(zlib.decompress(row.n), np.int64)
-    return np.minimum(511, 12 * np.log2(total + 1)).astype(np.uint16)
+    return np.minimum(511, ONCE * np.log2(total + 1)).astype(np.uint16)
 
 
 class Lines:
@@ -182,9 +186,12 @@ class Lines:
 
 
 def set_sums(found: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each set, a sum that equal sets share, and the sketch: parities of 32 classes of its members."""
+    """Of each set, a sum that equal sets share, and the sketch: parities of 96 classes of its members, a row of two numbers."""
     mixed = mix(found ^ U64(0x8EBC6AF09C88C6E3))
-    return _reduce(np.add, mixed, offsets), _reduce(np.bitwise_xor, U64(1) << (mixed & U64(31)), offsets).astype(np.uint32)
+    kind = (mixed >> U64(32)) % U64(96)
+    bit, low = U64(1) << (kind & U64(63)), kind < U64(64)
+    sketch = [_reduce(np.bitwise_xor, np.where(own, bit, U64(0)), offsets) for own in (low, ~low)]
+    return _reduce(np.add, mixed, offsets), np.stack(sketch, axis=1)
 
 
 def _reduce(f, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -196,7 +203,7 @@ def _reduce(f, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-ENTRY = {"word": (np.uint64, 5), "size": (np.uint32, 4), "at": (np.uint32, 4), "sketch": (np.uint32, 4), "check": (np.uint32, 4), "row": (np.int64, 8), "line": (np.uint32, 4)}
+ENTRY = {"word": (np.uint64, 5), "size": (np.uint32, 4), "at": (np.uint32, 4), "sketch": (np.uint64, 8), "sketch2": (np.uint32, 4), "check": (np.uint32, 4), "row": (np.int64, 8), "line": (np.uint32, 4)}
 ENTRY_SCHEMA = "part long, chunk long, entries binary"
 
 
@@ -216,8 +223,13 @@ def _entries(lines: Lines, which: np.ndarray, ranks: tuple[np.ndarray, int], par
     prefix = np.where(use, size - needed(size) + 1, 0)
     of = np.repeat(np.arange(len(which)), prefix)
     at = np.arange(len(of)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-    word = mix(found[offsets[:-1][of] + at])
-    columns = {"word": word >> U64(24), "size": size[of], "at": at, "sketch": sketch[of], "check": (total >> U64(32)).astype(np.uint32)[of], "row": lines.row[which][of], "line": lines.line[which][of]}
+    word = found[offsets[:-1][of] + at]
+    shared = ranks[0][(word & U64(SLOTS - 1)).astype(np.int64)] > ONCE
+    of, at, word = of[shared], at[shared], word[shared]
+    # sets of so few tokens are similar to equal ones only
+    whole = (needed(size) == size) & (needed(size + 1) > size)
+    word = mix(np.where(whole[of], total[of], word))
+    columns = {"word": word >> U64(24), "size": size[of], "at": at, "sketch": sketch[of, 0], "sketch2": sketch[of, 1], "check": (total >> U64(32)).astype(np.uint32)[of], "row": lines.row[which][of], "line": lines.line[which][of]}
     rows = cut((word % U64(parts)).astype(np.int64), columns, ENTRY)
     return rows, repeats
 
@@ -254,8 +266,28 @@ def _may_match(e: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     both = needed_of_two(a + b)
     ok = needed(np.maximum(a, b)) <= np.minimum(a, b)
     ok &= 1 + np.minimum(a - e["at"][i] - 1, b - e["at"][j] - 1) >= both
-    ok &= np.bitwise_count(e["sketch"][i] ^ e["sketch"][j]) <= a + b - 2 * both
-    return ok & ((e["row"][i] != e["row"][j]) | (e["line"][i] != e["line"][j]))
+    left = np.flatnonzero(ok)
+    i, j = i[left], j[left]
+    far = sum(np.bitwise_count(e[k][i] ^ e[k][j]) for k in ("sketch", "sketch2") if k in e)
+    ok[left] = (far <= (a + b - 2 * both)[left]) & ((e["row"][i] != e["row"][j]) | (e["line"][i] != e["line"][j]))
+    return ok
+
+
+def _near(e: dict, kept: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates (earlier, later) of the same group; only entries of sizes near enough meet."""
+    by = np.lexsort((e["size"][kept], group))
+    kept, size, base = kept[by], e["size"][kept[by]].astype(np.int64), group[by] << 32
+    count = np.arange(len(by)) - np.searchsorted(base + size, base + needed(size))
+    total, start = np.cumsum(count), 0
+    while start < len(by):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS)))
+        n = count[start:end]
+        j = np.repeat(np.arange(start, end), n)
+        i = j - np.repeat(n, n) + (np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n))
+        i, j = kept[i], kept[j]
+        ok = _may_match(e, i, j)
+        yield np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])
+        start = end
 
 
 MORE, SAME, KNOWN = 1, 2, 4
@@ -281,28 +313,20 @@ def _group_pairs(e: dict, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(kept) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(kept)))
     member = np.flatnonzero(np.repeat((size > 1) & (size <= DENSE), size))
-    before = member - np.repeat(first, size)[member]
-    total = np.cumsum(before)
-    start = 0
-    while start < len(member):
-        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS)))
-        count = before[start:end]
-        j = np.repeat(member[start:end], count)
-        i = j - np.repeat(count, count) + (np.arange(len(j)) - np.repeat(np.cumsum(count) - count, count))
-        i, j = kept[i], kept[j]
-        ok = _may_match(e, i, j)
-        out.append((i[ok], j[ok], np.zeros(int(ok.sum()), np.uint8)))
-        start = end
+    out += [(i, j, np.zeros(len(i), np.uint8)) for i, j in _near(e, kept[member], np.repeat(np.arange(len(size)), size)[member])]
     left = SPARE * len(first_of)
     for a, n in sorted(zip(first[size > DENSE].tolist(), size[size > DENSE].tolist(), strict=True), key=lambda g: g[1]):
         group = kept[a : a + n]
         if n * n <= SQUARE:
-            found = [(k, past[_may_match(e, past, np.full(k, group[k]))]) for k in range(1, n) for past in (group[:k],)]
-            number = sum(len(past) for _, past in found)
+            found, number = [], 0
+            for i, j in _near(e, group, np.zeros(n, np.int64)):
+                found.append((i, j, np.zeros(len(i), np.uint8)))
+                number += len(i)
+                if number > left:
+                    break
             if number <= left:
                 left -= number
-                later = np.repeat(group[[k for k, _ in found]], [len(past) for _, past in found])
-                out.append((np.concatenate([past for _, past in found]), later, np.zeros(number, np.uint8)))
+                out += found
                 continue
         named = np.zeros(n, np.int64)
         for k in range(n):

@@ -437,3 +437,18 @@ def test_op10(docs, odd, empty):
         assert (got[row].n_tokens, got[row].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert got[row].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert digest_texts(odd, *args).count() == 7 and digest_texts(empty, *args).count() == 0
+
+
+def test_op3_registered_tokens_are_words(spark, tmp_path):
+    """The registered query and the stage remove what single words match: a line with one changed word in the middle."""
+    import corpus_pipeline
+    from framesift.llm.registry import op3_line_dedup
+
+    words = [f"word{i}" for i in range(27)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:13], "other", *words[14:]])), (3, " ".join(["far"] + [f"off{i}" for i in range(20)]))]
+    rows = [(i, t, "en", "s", len(t)) for i, t in rows]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: rows[0][1], 2: "", 3: rows[2][1]}
+    assert {r.doc_id: r.text for r in op3_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, made, str(tmp_path)).collect()} == want
