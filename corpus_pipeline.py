@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat earlier ones, exactly or nearly; n_chars is counted again."""
     n_chars = F.length("text").cast("long").alias("n_chars")
-    return line_dedup(docs, shingle=1).select("doc_id", "text", "lang", "source", n_chars)
+    return line_dedup(docs, shingle=1, least=1).select("doc_id", "text", "lang", "source", n_chars)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.line_dedup import line_dedup
 
-    return line_dedup(documents(spark, sf_dir), shingle=1).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup(documents(spark, sf_dir), shingle=1, least=1).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

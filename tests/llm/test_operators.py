@@ -452,3 +452,16 @@ def test_op3_registered_tokens_are_words(spark, tmp_path):
     want = {1: rows[0][1], 2: "", 3: rows[2][1]}
     assert {r.doc_id: r.text for r in op3_line_dedup(spark, str(tmp_path)).collect()} == want
     assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, made, str(tmp_path)).collect()} == want
+
+
+def test_op3_registered_takes_short_lines(spark, tmp_path):
+    """The registered query and the stage remove repeated lines of one or two words; blank lines stay."""
+    import corpus_pipeline
+    from framesift.llm.registry import op3_line_dedup
+
+    rows = [(i, t, "en", "s", len(t)) for i, t in [(1, "one\ntwo words\n\none\n\nother"), (2, "Two  WORDS\n \none more\nother")]]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: "one\ntwo words\n\n\nother", 2: " \none more"}
+    assert {r.doc_id: r.text for r in op3_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, made, str(tmp_path)).collect()} == want
