@@ -49,7 +49,7 @@ def deal(docs: DataFrame, chunks: int, id_col: str, text_col: str, others: bool
     dealt = docs.select(
         F.pmod(F.xxhash64(row), F.lit(chunks)).alias("chunk"), row.alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest
     )
-    return dealt.mapInArrow(_pack, "chunk long, packed binary")
+    return dealt.mapInArrow(_pack, "chunk long not null, packed binary")
 
 
 def unpack(table: pa.Table) -> pa.Table:

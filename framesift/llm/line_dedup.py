@@ -1,25 +1,28 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its shingles of so many words (a shorter line: of all its words); the registered query
-and the pipeline take single words. A line goes when an
-earlier one, in order of document id and line, has a Jaccard similarity of `THRESHOLD` or more, judged on
-the input. Lines of under `least` words stay.
+A line is the set of its words. It goes when an earlier one, in order of document id and line, has a Jaccard
+similarity of `THRESHOLD` or more, judged on the input. Lines of under `least` words stay; with `least=1`
+these are the lines without words.
 
-1. Shingles are counted over all documents, in a table of a fixed number of hashed slots; their order is
+1. Words are counted over all documents, in a table of a fixed number of hashed slots; their order is
    by that count, rarest first. Any one order gives the same result, a better one fewer candidates.
-2. Each chunk sends its lines' prefixes: a line of n shingles has n - ceil(t n) + 1 of them, and two
+2. Each chunk sends its lines' prefixes: a line of n words has n - ceil(t n) + 1 of them, and two
    similar lines share one. What occurs once in all texts is not sent; a set so small that only an equal
-   one is similar is sent under its sum. An entry has the shingle's hash, its position, the line's size, a sketch
+   one is similar is sent under its sum. An entry has the word's hash, its position, the line's size, a sketch
    and a check sum of the set. Of lines with equal sets in one chunk only the first sends entries.
-3. Lines that share a shingle are candidates if their sizes, the shingles left after the shared one, and
-   the sketches, whose distance never exceeds the number of shingles that only one line has, allow it.
-4. Chunks fetch the shingles of the candidates and verify the Jaccard similarity. Where size and check sum
+3. Lines that share a word are candidates if their sizes, the words left after the shared one, and
+   the sketches, whose distance never exceeds the number of words that only one line has, allow it.
+4. Chunks fetch the words of the candidates and verify the Jaccard similarity. Where size and check sum
    are equal, the 64-bit sum over the set is compared instead.
 
-For each shingle, lines with equal sets name the first of them only, and the firsts name all candidates
-among them. Where a shingle joins a dense family of different sets, a line names a few only; if none of
+For each word, lines with equal sets name the first of them only, and the firsts name all candidates
+among them. Where a word joins a dense family of different sets, a line names a few only; if none of
 these is verified and there are more, the line comes back and is held against every earlier line. So pairs
 grow with the lines, not with the square of a family, and nothing is lost.
+
+All of it is one job, so the documents and the entries are dealt once and every later step reads that one
+exchange. The second round of steps 3 and 4 looks at what the lines that come back share, and ends in the step
+that takes the lines out.
 """
 
 from __future__ import annotations
@@ -30,36 +33,37 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.chunks import CHUNK_BYTES, columns_of, cut, deal, split_by, unpack
-from framesift.llm.common import U64, checkpoint_dir, mix, prefix_hash, range_hash, steps, text_bytes, total_bytes
+from framesift.llm.common import U64, mix, steps, text_bytes, total_bytes
 
 THRESHOLD = Fraction(4, 5)
-LEAST_WORDS = 3
-SHINGLE = 5
-#: odd multiplier whose powers are the weights of the words of a shingle
-TERM = 0xBF58476D1CE4E5B9
+LEAST_WORDS = 1
 SLOTS = 1 << 22
 #: class of frequency of a slot that one occurrence in all texts fills
 ONCE = 12
 RANGE_BYTES = 4 << 20
-#: candidates that a line of a dense family names first for each shingle
+#: candidates that a line of a dense family names first for each word
 FIRST = 4
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 PAIRS = 1 << 21
 #: bytes of text tokenised at once: few enough for a core's cache
 STEP = 1 << 17
-#: different sets of one shingle above which leaders name candidates
+#: different sets of one word above which leaders name candidates
 DENSE = 256
 #: where all candidates of the dense families are so many times the entries of a part at most, all are named
 SPARE = 4
 #: pairs of a dense family that are looked at for that
 SQUARE = 1 << 24
+#: odd multiplier that joins the eight-byte pieces of a word
+TERM = U64(0xBF58476D1CE4E5B9)
+#: the first n bytes of eight
+HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: words of more bytes are hashed one by one
+WIDE = 64
 
 
 def needed(size, t: Fraction = THRESHOLD):
@@ -74,52 +78,38 @@ def needed_of_two(both, t: Fraction = THRESHOLD):
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the lower-cased words of a buffer of texts."""
-    inside = ~SPACE[raw]
-    edge = np.ones(len(raw) + 1, bool)
-    if len(raw):
-        edge[1:-1] = inside[1:] != inside[:-1]
-        edge[offsets[(offsets > 0) & (offsets < len(raw))]] = True
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = (raw != 32) & (raw - np.uint8(9) > 4)
+    edge = inside[1:] != inside[:-1]
+    edge[offsets] = True
     cut = np.flatnonzero(edge)
-    keep = inside[cut[:-1]] if len(raw) else np.zeros(0, bool)
+    keep = inside[cut[:-1] + 1]
     start, end = cut[:-1][keep], cut[1:][keep]
-    return start, range_hash(prefix_hash(LOWER[raw]), start, end)
-
-
-def shingles(hashes: np.ndarray, of: np.ndarray, lines: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lines and hashes of the shingles of words that are in order of line, and the number of words of each line."""
-    size = np.bincount(of, minlength=lines)
-    first = np.cumsum(size) - size
-    take = np.minimum(size, width)
-    number = np.where(size > 0, size - take + 1, 0)
-    line = np.repeat(np.arange(lines), number)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(number) - number - first, number)
-    total = np.zeros(len(line), U64)
-    if len(hashes):
-        padded = np.concatenate([hashes, np.zeros(width, U64)])
-        short = np.flatnonzero(take[line] < width)
-        for i in range(width):
-            part = padded[at + i]
-            part[short[take[line[short]] <= i]] = 0
-            part *= U64(pow(TERM, i, 1 << 64))
-            total += part
-    return line, mix(total), size
-
-
-def line_shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the shingles of all lines of the texts of a buffer."""
-    start, hashes = words(raw, offsets)
-    cuts = np.unique(np.concatenate([offsets, np.flatnonzero(raw == 10) + 1]))
-    return shingles(hashes, np.searchsorted(cuts, start, "right") - 1, len(cuts), width)[1]
-
-
-def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    low = np.zeros(len(raw) + 8, np.uint8)
+    low[:-8] = raw | ((raw - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+    eight = np.ndarray(len(raw) + 1, "<u8", low, strides=(1,))
+    size = end - start
+    hashes = mix((eight[start] & HEAD[np.minimum(size, 8)]) + size.astype(U64) * TERM)
+    long = np.flatnonzero(size > 8)
+    for at in range(8, WIDE, 8):
+        if not len(long):
+            break
+        piece = eight[start[long] + at] & HEAD[np.minimum(size[long] - at, 8)]
+        hashes[long] = mix((hashes[long] ^ piece) * TERM)
+        long = long[size[long] > at + 8]
+    for i in long.tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(low[start[i] : end[i]])
+    return start, hashes
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS, np.int64)
     for batch in batches:
         raw, offsets = text_bytes(batch.column(0))
-        slots = [np.zeros(0, np.int64)]
+        slots = [np.zeros(0, np.int32)]
         for a, b in steps(offsets, STEP):
-            found = line_shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-            slots.append((found & U64(SLOTS - 1)).astype(np.int64))
+            _, found = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            slots.append((found & U64(SLOTS - 1)).astype(np.int32))
         total += np.bincount(np.concatenate(slots), minlength=SLOTS)
     yield pa.record_batch({"n": pa.array([zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())})
 
@@ -132,9 +122,9 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"n": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def word_ranks(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
+def word_ranks(docs: DataFrame, text_col: str) -> np.ndarray:
     """A class of frequency for each slot, 0 to 511; the table's size is fixed."""
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(lambda it: _count(it, width), "n binary").repartition(8).mapInArrow(_add, "n binary")
+    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(_count, "n binary").repartition(8).mapInArrow(_add, "n binary")
     total = np.zeros(SLOTS, np.int64)
     for row in parts.collect():
         total += np.frombuffer(zlib.decompress(row.n), np.int64)
@@ -162,21 +152,27 @@ class Lines:
     def find(self, row: np.ndarray, line: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.row, row, "left") + line
 
-    def sets(self, which: np.ndarray, order: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different shingles of each of the (ascending) lines in their order, offsets by line, and words of each line."""
-        ranks, width = order
+    def sets(self, which: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different words of each of the (ascending) lines in their order, offsets by line, and words of each line."""
         found, sizes, long = [np.zeros(0, U64)], np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-        lengths = self.end[which] - self.start[which] + 1
-        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        begin, end = self.start[which], self.end[which]
+        bounds = np.concatenate([[0], np.cumsum(end - begin + 1)])
+        body = memoryview(self.raw)
         for a, b in steps(bounds, STEP):
-            part, base = which[a:b], bounds[a]
-            place = np.repeat(self.start[part] - (bounds[a:b] - base), lengths[a:b]) + np.arange(bounds[b] - base)
-            raw = np.append(self.raw, np.uint8(10))[place]
-            raw[bounds[a + 1 : b + 1] - base - 1] = 10
-            start, hashes = words(raw, np.zeros(1, np.int64))
-            of = np.searchsorted(bounds[a : b + 1] - base, start, "right") - 1
-            of, hashes, long[a:b] = shingles(hashes, of, b - a, width)
-            rarity = (ranks[(hashes & U64(SLOTS - 1)).astype(np.int64)].astype(U64) << U64(36)) | (hashes >> U64(28))
+            if end[b - 1] - begin[a] < 2 * (bounds[b] - bounds[a]):
+                # lines that lie close together are read where they are
+                raw, starts, ends = self.raw[begin[a] : end[b - 1]], begin[a:b] - begin[a], end[a:b] - begin[a]
+            else:
+                raw = np.frombuffer(b"".join(body[x:y] for x, y in zip(begin[a:b].tolist(), end[a:b].tolist(), strict=True)), np.uint8)
+                ends = np.cumsum(end[a:b] - begin[a:b])
+                starts = ends - (end[a:b] - begin[a:b])
+            start, hashes = words(raw, np.concatenate([starts, ends]))
+            first, last = np.searchsorted(start, starts), np.searchsorted(start, ends)
+            long[a:b] = last - first
+            if len(start) > long[a:b].sum():
+                hashes = hashes[np.repeat(first - np.cumsum(long[a:b]) + long[a:b], long[a:b]) + np.arange(long[a:b].sum())]
+            of = np.repeat(np.arange(b - a), long[a:b])
+            rarity = (ranks[(hashes & U64(SLOTS - 1)).astype(np.int32)].astype(U64) << U64(36)) | (hashes >> U64(28))
             by = np.argsort((of.astype(U64) << U64(45)) | rarity)
             of, hashes = of[by], hashes[by]
             fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1]))[: len(of)]
@@ -186,12 +182,41 @@ class Lines:
 
 
 def set_sums(found: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each set, a sum that equal sets share, and the sketch: parities of 96 classes of its members, a row of two numbers."""
+    """Of each set, a sum that equal sets share, and the sketch, a row of SKETCH.
+
+    The sketch has parities of 64 classes of the members. Sets of over LONG[0], LONG[1] and LONG[2] members have
+    twice, four and eight times as many: the new columns are one half of each class, the old ones both.
+    """
     mixed = mix(found ^ U64(0x8EBC6AF09C88C6E3))
-    kind = (mixed >> U64(32)) % U64(96)
-    bit, low = U64(1) << (kind & U64(63)), kind < U64(64)
-    sketch = [_reduce(np.bitwise_xor, np.where(own, bit, U64(0)), offsets) for own in (low, ~low)]
-    return _reduce(np.add, mixed, offsets), np.stack(sketch, axis=1)
+    bit = U64(1) << (mixed >> U64(58))
+    sketch = np.zeros((len(SKETCH), len(offsets) - 1), U64)
+    sketch[0] = _reduce(np.bitwise_xor, bit, offsets)
+    size = np.diff(offsets)
+    for level, least in enumerate(LONG):
+        sets = np.flatnonzero(size > least)
+        if not len(sets):
+            break
+        bounds = np.concatenate([[0], np.cumsum(size[sets])])
+        place = np.repeat(offsets[sets] - bounds[:-1], size[sets]) + np.arange(bounds[-1])
+        of, own = (mixed[place] & U64(2 * (1 << level) - 1)).astype(np.uint8), bit[place]
+        for k in range(1 << level, 2 << level):
+            sketch[k, sets] = _reduce(np.bitwise_xor, np.where(of == k, own, U64(0)), bounds)
+    return _reduce(np.add, mixed, offsets), sketch
+
+
+def sketch_distance(e: dict, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Classes whose parities differ: never more than the members that only one of the sets has."""
+    halves = [e["sketch"][i] ^ e["sketch"][j]]
+    far, left = np.bitwise_count(halves[0]).astype(np.int64), np.arange(len(i))
+    for bound in LONG:
+        long = least[left] > bound
+        left = left[long]
+        if not len(left):
+            break
+        new = [e[k][i[left]] ^ e[k][j[left]] for k in SKETCH[len(halves) : 2 * len(halves)]]
+        halves = [old[long] ^ half for old, half in zip(halves, new, strict=True)] + new
+        far[left] = sum(np.bitwise_count(h).astype(np.int64) for h in halves)
+    return far
 
 
 def _reduce(f, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -203,11 +228,14 @@ def _reduce(f, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-ENTRY = {"word": (np.uint64, 5), "size": (np.uint32, 4), "at": (np.uint32, 4), "sketch": (np.uint64, 8), "sketch2": (np.uint32, 4), "check": (np.uint32, 4), "row": (np.int64, 8), "line": (np.uint32, 4)}
-ENTRY_SCHEMA = "part long, chunk long, entries binary"
+#: columns of the sketch; those that only long sets fill compress to nothing elsewhere
+SKETCH = ("sketch", *(f"sketch{k}" for k in range(1, 8)))
+LONG = (48, 190, 400)
+ENTRY = {"word": (np.uint64, 5), "size": (np.uint32, 4), "at": (np.uint32, 4), **dict.fromkeys(SKETCH, (np.uint64, 8)), "check": (np.uint32, 4), "row": (np.int64, 8), "line": (np.uint32, 4)}
+ENTRY_SCHEMA = "part long not null, chunk long, entries binary"
 
 
-def _entries(lines: Lines, which: np.ndarray, ranks: tuple[np.ndarray, int], parts: int, least: int, once: bool) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+def _entries(lines: Lines, which: np.ndarray, ranks: np.ndarray, parts: int, least: int, once: bool) -> tuple[list[tuple[int, bytes]], np.ndarray]:
     """Prefix entries of the given lines by part; if `once`, of equal sets only the first's, and the other lines' places."""
     found, offsets, long = lines.sets(which, ranks)
     size = np.diff(offsets)
@@ -224,12 +252,12 @@ def _entries(lines: Lines, which: np.ndarray, ranks: tuple[np.ndarray, int], par
     of = np.repeat(np.arange(len(which)), prefix)
     at = np.arange(len(of)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
     word = found[offsets[:-1][of] + at]
-    shared = ranks[0][(word & U64(SLOTS - 1)).astype(np.int64)] > ONCE
+    shared = ranks[(word & U64(SLOTS - 1)).astype(np.int32)] > ONCE
     of, at, word = of[shared], at[shared], word[shared]
     # sets of so few tokens are similar to equal ones only
     whole = (needed(size) == size) & (needed(size + 1) > size)
     word = mix(np.where(whole[of], total[of], word))
-    columns = {"word": word >> U64(24), "size": size[of], "at": at, "sketch": sketch[of, 0], "sketch2": sketch[of, 1], "check": (total >> U64(32)).astype(np.uint32)[of], "row": lines.row[which][of], "line": lines.line[which][of]}
+    columns = {"word": word >> U64(24), "size": size[of], "at": at, **{k: v[of] for k, v in zip(SKETCH, sketch, strict=True)}, "check": (total >> U64(32)).astype(np.uint32)[of], "row": lines.row[which][of], "line": lines.line[which][of]}
     rows = cut((word % U64(parts)).astype(np.int64), columns, ENTRY)
     return rows, repeats
 
@@ -268,7 +296,7 @@ def _may_match(e: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     ok &= 1 + np.minimum(a - e["at"][i] - 1, b - e["at"][j] - 1) >= both
     left = np.flatnonzero(ok)
     i, j = i[left], j[left]
-    far = sum(np.bitwise_count(e[k][i] ^ e[k][j]) for k in ("sketch", "sketch2") if k in e)
+    far = sketch_distance(e, i, j, np.minimum(a, b)[left])
     ok[left] = (far <= (a + b - 2 * both)[left]) & ((e["row"][i] != e["row"][j]) | (e["line"][i] != e["line"][j]))
     return ok
 
@@ -344,7 +372,7 @@ def _group_pairs(e: dict, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 PAIR = {"row": (np.int64, 8), "line": (np.uint32, 4), "to_chunk": (np.int64, 4), "to_row": (np.int64, 8), "to_line": (np.uint32, 4), "flags": (np.uint8, 1)}
-PAIR_SCHEMA = "chunk long, pairs binary"
+PAIR_SCHEMA = "chunk long not null, pairs binary"
 
 
 def _pair_table(e: dict, i: np.ndarray, j: np.ndarray, flags: np.ndarray) -> pa.Table:
@@ -374,6 +402,8 @@ def _pairs(most: int, parts: int):
 
 def _all_pairs(open_entries: pa.Table, table: pa.Table) -> pa.Table:
     """Every earlier candidate of the lines that came back."""
+    if not open_entries.num_rows:
+        table = table.slice(0, 0)
     asked, e = _read_entries(open_entries), _read_entries(table)
     by = np.argsort(e["word"], kind="stable")
     e = {k: v[by] for k, v in e.items()}
@@ -393,7 +423,9 @@ def _all_pairs(open_entries: pa.Table, table: pa.Table) -> pa.Table:
 
 LATER = {"row": (np.int64, 8), "line": (np.uint32, 4), "of": (np.uint32, 4), "flags": (np.uint8, 1)}
 SETS = {"sum": (np.uint64, 8), "size": (np.uint32, 4)}
-FETCH_SCHEMA = "chunk long, later binary, sets binary, words binary"
+FETCH_SCHEMA = "chunk long not null, later binary, sets binary, words binary"
+PLACE = {"row": (np.int64, 8), "line": (np.uint32, 4)}
+TOLD_SCHEMA = "chunk long not null, gone binary, part long not null, entries binary"
 
 
 def _fetch(ranks):
@@ -424,84 +456,109 @@ def _fetch(ranks):
     return fetch
 
 
-def _verify(ranks):
-    """row, line, gone: lines with a verified earlier match (true), or open ones that have more candidates (false)."""
+def _verified(lines: Lines, sent: pa.Table, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line whether an earlier match is verified, and whether it has candidates that it was not told."""
+    done, again = np.zeros(len(lines.row), bool), np.zeros(len(lines.row), bool)
+    p, pairs_of = columns_of(sent.column("later").to_pylist(), LATER)
+    sets, sets_of = columns_of(sent.column("sets").to_pylist(), SETS)
+    members = np.frombuffer(b"".join(sent.column("words").to_pylist()), U64)
+    source = p["of"].astype(np.int64) + np.repeat(np.cumsum(sets_of) - sets_of, pairs_of)
+    later = lines.find(p["row"], p["line"].astype(np.int64))
+    open_pairs = np.flatnonzero(p["flags"] & KNOWN == 0)
+    which, of = np.unique(later[open_pairs], return_inverse=True)
+    found, offsets, _ = lines.sets(which, ranks)
+    total, _ = set_sums(found, offsets)
+    source, flags = source[open_pairs], p["flags"][open_pairs]
+    same = flags & SAME > 0
+    similar = same & (sets["sum"][source] == total[of])
+    sizes = sets["size"].astype(np.int64)
+    begins = np.cumsum(sizes) - sizes
+    # members in order of line and hash; 45 bits of the hash find the place, all bits decide
+    near = lambda w, o: (o.astype(U64) << U64(45)) | (w >> U64(19))
+    keys = near(found, np.repeat(np.arange(len(which)), np.diff(offsets)))
+    by = np.argsort(keys)
+    keys, found = keys[by], found[by]
+    matched = np.bincount(of[similar], minlength=len(which)) > 0
+    order = np.argsort(of, kind="stable")
+    order = order[~same[order]]
+    nth = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+    # a line's further candidates are looked at only where the ones before don't match
+    for low, high in ((0, 1), (1, 4), (4, len(order))):
+        pairs = order[(nth >= low) & (nth < high) & ~matched[of[order]]]
+        size = sizes[source[pairs]]
+        pair = np.repeat(np.arange(len(pairs)), size)
+        member = members[np.repeat(begins[source[pairs]] - (np.cumsum(size) - size), size) + np.arange(len(pair))]
+        at = np.minimum(np.searchsorted(keys, near(member, of[pairs][pair])), max(0, len(keys) - 1))
+        common = np.bincount(pair[found[at] == member] if len(keys) else pair[:0], minlength=len(pairs))
+        union = size + np.diff(offsets)[of[pairs]] - common
+        similar[pairs] = common * THRESHOLD.denominator >= union * THRESHOLD.numerator
+        matched[of[pairs[similar[pairs]]]] = True
+    done[later[p["flags"] & KNOWN > 0]] = True
+    done[which[of[similar]]] = True
+    # a sum that differs although size and check sum agree leaves the pair open as well
+    again[which[of[(flags & MORE > 0) | (same & ~similar)]]] = True
+    return done, again & ~done
+
+
+def _verify(ranks, parts: int, least: int):
+    """The lines of a chunk with a verified earlier match, as PLACE, and the entries of those that come back."""
 
     def verify(table: pa.Table, sent: pa.Table) -> pa.Table:
-        row, line, gone = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        told, rows, chunk = [], [], 0
         if table.num_rows and sent.num_rows:
-            lines = Lines(table)
-            p, pairs_of = columns_of(sent.column("later").to_pylist(), LATER)
-            sets, sets_of = columns_of(sent.column("sets").to_pylist(), SETS)
-            members = np.frombuffer(b"".join(sent.column("words").to_pylist()), U64)
-            source = p["of"].astype(np.int64) + np.repeat(np.cumsum(sets_of) - sets_of, pairs_of)
-            later = lines.find(p["row"], p["line"].astype(np.int64))
-            open_pairs = np.flatnonzero(p["flags"] & KNOWN == 0)
-            which, of = np.unique(later[open_pairs], return_inverse=True)
-            found, offsets, _ = lines.sets(which, ranks.value)
-            total, _ = set_sums(found, offsets)
-            source, flags = source[open_pairs], p["flags"][open_pairs]
-            same = flags & SAME > 0
-            similar = same & (sets["sum"][source] == total[of])
-            owner = np.repeat(np.arange(len(which)), np.diff(offsets))
-            salted = lambda w, o: mix(w + mix(o.astype(U64) + U64(1)))
-            known = np.sort(salted(found, owner))
-            sizes = sets["size"].astype(np.int64)
-            begins = np.cumsum(sizes) - sizes
-            size = sizes[source]
-            pair = np.repeat(np.arange(len(of)), size)
-            place = np.repeat(begins[source] - (np.cumsum(size) - size), size) + np.arange(len(pair))
-            key = salted(members[place], of[pair])
-            at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-            common = np.bincount(pair[known[at] == key] if len(known) else pair[:0], minlength=len(of))
-            union = size + np.diff(offsets)[of] - common
-            similar |= ~same & (common * THRESHOLD.denominator >= union * THRESHOLD.numerator)
-            done, again = np.zeros(len(lines.row), bool), np.zeros(len(lines.row), bool)
-            done[later[p["flags"] & KNOWN > 0]] = True
-            done[which[of[similar]]] = True
-            # a sum that differs although size and check sum agree leaves the pair open as well
-            again[which[of[(flags & MORE > 0) | (same & ~similar)]]] = True
-            told = np.flatnonzero(done | again)
-            row, line, gone = lines.row[told], lines.line[told], done[told]
-        return pa.table({"row": pa.array(row, pa.int64()), "line": pa.array(line, pa.int64()), "gone": pa.array(gone, pa.bool_())})
+            lines, chunk = Lines(table), table.column("chunk")[0].as_py()
+            done, again = _verified(lines, sent, ranks.value)
+            gone, left = np.flatnonzero(done), np.flatnonzero(again)
+            told = cut(np.zeros(len(gone), np.int64), {"row": lines.row[gone], "line": lines.line[gone]}, PLACE)
+            rows, _ = _entries(lines, left, ranks.value, parts, least, False)
+        none = [None] * len(rows)
+        return pa.table(
+            {
+                "chunk": pa.array([chunk] * (len(told) + len(rows)), pa.int64()),
+                "gone": pa.array([t[1] for t in told] + none, pa.binary()),
+                "part": pa.array([-1] * len(told) + [r[0] for r in rows], pa.int64()),
+                "entries": pa.array([None] * len(told) + [r[1] for r in rows], pa.binary()),
+            }
+        )
 
     return verify
 
 
-def _reopen(ranks, parts: int, least: int):
-    def send(table: pa.Table, asked: pa.Table) -> pa.Table:
-        rows, chunk = [], 0
-        if table.num_rows and asked.num_rows:
-            lines = Lines(table)
-            chunk = table.column("chunk")[0].as_py()
-            which = np.unique(lines.find(asked.column("row").to_numpy(), asked.column("line").to_numpy()))
-            rows, _ = _entries(lines, which, ranks.value, parts, least, False)
-        return _entry_table(rows, chunk)
-
-    return send
-
+def _finish(ranks):
+    """Takes out the lines that either round has verified."""
 
-def _finish(table: pa.Table, verdicts: pa.Table) -> pa.Table:
-    lines = Lines(table)
-    gone = np.zeros(len(lines.row), bool)
-    if verdicts.num_rows:
-        gone[lines.find(verdicts.column("row").to_numpy(), verdicts.column("line").to_numpy())] = True
-    n = len(lines.offsets) - 1
-    total = np.bincount(lines.doc, minlength=n)
-    removed = np.bincount(lines.doc[gone], minlength=n)
-    texts = lines.table.column("text").to_pylist()
-    for doc in np.flatnonzero(removed).tolist():
-        a = int(np.searchsorted(lines.doc, doc))
-        parts = texts[doc].split("\n")
-        texts[doc] = "\n".join(p for p, g in zip(parts, gone[a : a + len(parts)].tolist(), strict=True) if not g)
-    return pa.table(
-        {
-            "rest": lines.table.column("rest"),
-            "text": pa.array(texts, pa.string()),
-            "n_lines": pa.array(total, pa.int64()),
-            "n_removed": pa.array(removed, pa.int64()),
-        }
-    )
+    def finish(table: pa.Table, verdicts: pa.Table) -> pa.Table:
+        lines = Lines(table)
+        gone = np.zeros(len(lines.row), bool)
+        sent = verdicts.filter(pc.is_valid(verdicts.column("later")))
+        if sent.num_rows:
+            gone, _ = _verified(lines, sent, ranks.value)
+        if verdicts.num_rows:
+            p, _ = columns_of(verdicts.column("gone").drop_null().to_pylist(), PLACE)
+            gone[lines.find(p["row"], p["line"].astype(np.int64))] = True
+        n = len(lines.offsets) - 1
+        total = np.bincount(lines.doc, minlength=n)
+        removed = np.bincount(lines.doc[gone], minlength=n)
+        texts = lines.table.column("text").to_pylist()
+        for doc in np.flatnonzero(removed).tolist():
+            a = int(np.searchsorted(lines.doc, doc))
+            parts = texts[doc].split("\n")
+            texts[doc] = "\n".join(p for p, g in zip(parts, gone[a : a + len(parts)].tolist(), strict=True) if not g)
+        return pa.table(
+            {
+                "rest": lines.table.column("rest"),
+                "text": pa.array(texts, pa.string()),
+                "n_lines": pa.array(total, pa.int64()),
+                "n_removed": pa.array(removed, pa.int64()),
+            }
+        )
+
+    return finish
+
+
+def _as_is(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """No filter goes below this, so what lies below is one exchange for all that read it."""
+    yield from batches
 
 
 def line_dedup(
@@ -511,39 +568,35 @@ def line_dedup(
     text_col: str = "text",
     chunk_bytes: int = CHUNK_BYTES,
     first: int = FIRST,
-    shingle: int = SHINGLE,
 ) -> DataFrame:
     """docs with the later ones of similar lines removed from the text, and n_lines and n_removed.
 
-    `shingle` is the number of words of a token; 1 takes single words, which matches lines with more edits and
-    costs more, as a rare word joins more lines than a rare shingle. Lines end at a line feed; words are what white space (tab to carriage return, space) separates, in
-    lower case for A-Z. Lines of under `least` words, empty ones too, stay. Null texts become
-    empty; a text may become empty, its row stays. Missing ids sort after all others, by a hash of the
-    text. Rows that share an id count as one document in order of their texts; a fully equal row repeats
-    its lines. Other columns keep their values; they may not be called n_lines or n_removed.
+    Lines end at a line feed; words are what white space (tab to carriage return, space) separates, in
+    lower case for A-Z. Lines of under `least` words stay: with 1 those without words, so that a line that has any
+    is compared. Null texts become empty; a text may become empty, its row stays. Missing ids sort after all
+    others, by a hash of the text. Rows that share an id count as one document in order of their texts; a fully
+    equal row repeats its lines. Texts and lines of any length are read whole, one text in one task. Other columns
+    keep their values; columns of docs that are called n_lines or n_removed give way to the new ones. An empty
+    table gives no rows.
     """
-    checkpoint_dir(docs.sparkSession)
+    docs = docs.drop(*(c for c in ("n_lines", "n_removed") if c not in (id_col, text_col)))
     size = total_bytes(docs, text_col)
     chunks, parts = max(64, -(-size // chunk_bytes)), max(64, -(-size // RANGE_BYTES))
-    ranks = docs.sparkSession.sparkContext.broadcast((word_ranks(docs, text_col, shingle), shingle))
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col))
     dealt = deal(docs, chunks, id_col, text_col, others=True)
     entries = dealt.groupBy("chunk").applyInArrow(_send(ranks, parts, least), ENTRY_SCHEMA)
-    verdict_schema = "row long, line long, gone boolean"
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sent = dealt.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_fetch(ranks), FETCH_SCHEMA)
-        told = dealt.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(_verify(ranks), verdict_schema)
-        return told.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks))).checkpoint()
-
-    verdicts = verified(entries.groupBy("part").applyInArrow(_pairs(first, parts), PAIR_SCHEMA))
-    left = verdicts.where("not gone")
-    if not left.isEmpty():
-        opened = dealt.groupBy("chunk").cogroup(left.groupBy("chunk")).applyInArrow(_reopen(ranks, parts, least), ENTRY_SCHEMA)
-        again = opened.groupBy("part").cogroup(entries.groupBy("part")).applyInArrow(_all_pairs, PAIR_SCHEMA)
-        verdicts = verdicts.unionByName(verified(again))
-    gone = verdicts.where("gone").select("chunk", "row", "line")
+
+    def fetched(there: DataFrame, pairs: DataFrame) -> DataFrame:
+        return there.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_fetch(ranks), FETCH_SCHEMA)
+
+    sent = fetched(dealt, entries.groupBy("part").applyInArrow(_pairs(first, parts), PAIR_SCHEMA))
+    told = dealt.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(_verify(ranks, parts, least), TOLD_SCHEMA)
+    told = told.repartition("chunk").mapInArrow(_as_is, TOLD_SCHEMA)
+    opened = told.where("entries IS NOT NULL").select("part", "chunk", "entries")
+    again = opened.groupBy("part").cogroup(entries.groupBy("part")).applyInArrow(_all_pairs, PAIR_SCHEMA)
+    later = fetched(dealt, again).unionByName(told.where("gone IS NOT NULL").select("chunk", "gone"), allowMissingColumns=True)
     rest = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    done = dealt.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(
-        _finish, f"rest struct<{rest}>, text string, n_lines long, n_removed long"
+    done = dealt.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(
+        _finish(ranks), f"rest struct<{rest}>, text string, n_lines long, n_removed long"
     )
     return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns), "n_lines", "n_removed")

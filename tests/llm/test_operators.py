@@ -133,7 +133,7 @@ def test_op2_rows(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def lines_by_brute_force(rows, least=3, width=5):
+def lines_by_brute_force(rows, least=1):
     seen, out = [], {}
     for row, text in sorted((r, t or "") for r, t in rows):
         keep = []
@@ -142,7 +142,7 @@ def lines_by_brute_force(rows, least=3, width=5):
             if len(words) < least:
                 keep.append(line)
                 continue
-            own = frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+            own = frozenset(words)
             if not any(5 * len(own & other) >= 4 * len(own | other) for other in seen):
                 keep.append(line)
             seen.append(own)
@@ -150,8 +150,8 @@ def lines_by_brute_force(rows, least=3, width=5):
     return out
 
 
-@pytest.mark.parametrize("first,width", [(4, 5), (1, 5), (4, 1), (1, 2)])
-def test_op3(spark, first, width):
+@pytest.mark.parametrize("first,least", [(4, 1), (1, 1), (4, 3)])
+def test_op3(spark, first, least):
     from framesift.llm import line_dedup as D
 
     family = prose(40).split()
@@ -161,9 +161,31 @@ def test_op3(spark, first, width):
         for k in RNG.sample(range(40), RNG.randint(0, 2)):
             words[k] = f"w{i}x{k}"
         rows.append((1000 + i, " ".join(words)))
+        rows.append((2000 + i, f"{RNG.choice('ab')}\n{RNG.choice('cd')} {'long' * (i + 1)}\n{RNG.choice('cd')} {RNG.choice('ef')}\n"))
+    rows += [(3000, "w" * 70 + " " + "w" * 64), (3001, "W" * 70 + " " + "w" * 64), (3002, "w" * 71 + " " + "w" * 64), (3003, " ".join(family * 400)), (3004, " ".join(family))]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in D.line_dedup(table, first=first, shingle=width, chunk_bytes=3000).collect()}
-    assert got == lines_by_brute_force(rows, width=width)
+    got = {r.doc_id: r.text for r in D.line_dedup(table, first=first, least=least, chunk_bytes=3000).collect()}
+    assert got == lines_by_brute_force(rows, least)
+
+
+def test_op3_second_round(spark):
+    """A dense family whose first candidates fail comes back, and the second round gives what brute force gives."""
+    from framesift.llm import line_dedup as D
+    from framesift.llm.chunks import _pack, columns_of
+
+    rng, base, rows = random.Random(5), [f"base{i}" for i in range(40)], []
+    for i in range(400):
+        words = list(base)
+        for k in rng.sample(range(40), 3):
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    batch = pa.record_batch({"chunk": pa.array([0] * len(rows)), "row": pa.array([r for r, _ in rows]), "text": pa.array([t for _, t in rows])})
+    ranks = type("Ranks", (), {"value": np.full(D.SLOTS, 99, np.uint16)})
+    sent = D._send(ranks, 1, 1)(pa.table({"chunk": pa.array([0]), "packed": next(_pack(iter([batch]))).column("packed")}))
+    found, _ = columns_of(D._pairs(1, 1)(sent).column("pairs").to_pylist(), D.PAIR)
+    assert (found["flags"] & D.MORE).sum() > 100
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in D.line_dedup(table, first=1).collect()} == lines_by_brute_force(rows)
 
 
 def test_op3_dense_families_come_back():
@@ -172,7 +194,7 @@ def test_op3_dense_families_come_back():
 
     rng = np.random.default_rng(3)
     n = 400
-    e = {"word": np.zeros(n, np.uint64), "size": rng.integers(40, 60, n).astype(np.uint32), "at": np.zeros(n, np.uint32), "sketch": rng.integers(0, 4, n).astype(np.uint32), "check": np.arange(n).astype(np.uint32), "row": np.arange(n), "line": np.zeros(n, np.uint32), "chunk": np.zeros(n, np.int64)}
+    e = {"word": np.zeros(n, np.uint64), "size": rng.integers(40, 60, n).astype(np.uint32), "at": np.zeros(n, np.uint32), **dict.fromkeys(D.SKETCH, np.zeros(n, np.uint64)), "sketch": rng.integers(0, 4, n).astype(np.uint64), "check": np.arange(n).astype(np.uint32), "row": np.arange(n), "line": np.zeros(n, np.uint32), "chunk": np.zeros(n, np.int64)}
     want = {(i, j) for j in range(n) for i in range(j) if D._may_match(e, np.array([i]), np.array([j]))[0]}
     spare, D.SPARE = D.SPARE, 0
     try:
@@ -192,12 +214,29 @@ def test_op3_dense_families_come_back():
     assert (set(zip(i.tolist(), j.tolist(), strict=True)) == want) == (len(want) <= D.SPARE * n)
 
 
+def test_op3_sketches_never_exceed_the_difference():
+    from framesift.llm import line_dedup as D
+
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, int(n))) for n in (3, 40, 48, 49, 60, 299, 301, 400, 700, 800)]
+    sets += [np.append(s[:-1], np.uint64(7)) for s in sets]
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    _, sketch = D.set_sums(np.concatenate(sets), offsets)
+    e = dict(zip(D.SKETCH, sketch, strict=True))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            far = D.sketch_distance(e, np.array([i]), np.array([j]), np.array([min(len(a), len(b))]))[0]
+            assert far <= len(set(a.tolist()) ^ set(b.tolist())) and (far > 0) <= (set(a.tolist()) != set(b.tolist()))
+
+
 def test_op3_rows(odd, empty):
     from framesift.llm.line_dedup import line_dedup
 
     got = line_dedup(odd)
     assert got.columns == [*odd.columns, "n_lines", "n_removed"]
-    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, ""), (0, "one two three four five six"), (5, ""), (5, "other words for this id here"), (6, "b"), (6, "b"), (7, "")]
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, ""), (0, "one two three four five six"), (5, ""), (5, "other words for this id here"), (6, ""), (6, "b"), (7, "")]
+    assert line_dedup(odd.withColumn("n_lines", F.lit("x"))).schema["n_lines"].dataType.typeName() == "long"
     assert line_dedup(empty).count() == 0
 
 
