@@ -55,7 +55,8 @@ def common(a: bytes, b: bytes, at: int) -> int:
 class PatriciaTrie:
     """Maps whole byte strings to owners; subtrees past the memory bound wait in files.
 
-    An owner is [n_chars, id, rows, extra]: the most characters win, then the smallest id.
+    An owner is [n_chars, id, rows, extra]: the most characters win, then the smallest id. All keys share their
+    first `depth` bytes, so the byte there tells a key's subtree.
     """
 
     def __init__(self, held: int = HELD_BYTES, depth: int = 0):
@@ -74,27 +75,29 @@ class PatriciaTrie:
         if first in self.spilled:
             self._write(first, key, owner)
             return
-        self.sizes[first] = self.sizes.get(first, 0) + len(key) + 64
-        self.size += len(key) + 64
-        self._insert(key, owner)
-        if self.size > self.held and len(key) > self.depth:
-            self._spill(max(self.sizes, key=self.sizes.get))
+        if self._insert(key, owner):
+            # a repeated key takes no room
+            self.sizes[first] = self.sizes.get(first, 0) + len(key) + 64
+            self.size += len(key) + 64
+            if self.size > self.held:
+                self._spill()
 
-    def _insert(self, key: bytes, owner: list) -> None:
+    def _insert(self, key: bytes, owner: list) -> bool:
+        """True where the key is new."""
         node, at = self.root, 0
         while True:
             if at == len(key):
                 if node.owner is None:
                     node.owner = owner
-                else:
-                    self.better(node.owner, owner)
-                return
+                    return True
+                self.better(node.owner, owner)
+                return False
             if node.children is None:
                 node.children = {}
             child = node.children.get(key[at])
             if child is None:
                 node.children[key[at]] = Node(key[at:], owner)
-                return
+                return True
             n = common(child.label, key, at)
             if n < len(child.label):
                 upper = Node(child.label[:n])
@@ -109,6 +112,13 @@ class PatriciaTrie:
         head = np.array([len(key), owner[0], owner[1], owner[2], len(digest)], "<i8").tobytes()
         self.spilled[first].write(head + key + digest)
 
+    @staticmethod
+    def _read(file) -> Iterator[tuple[bytes, list]]:
+        file.seek(0)
+        while head := file.read(40):
+            size, chars, row, rows, extra = np.frombuffer(head, "<i8").tolist()
+            yield file.read(size), [chars, row, rows, file.read(extra)]
+
     def _walk(self, node: Node, before: bytes) -> Iterator[tuple[bytes, list]]:
         todo = [(node, before)]
         while todo:
@@ -118,33 +128,43 @@ class PatriciaTrie:
                 yield key, node.owner
             todo += [(c, key) for c in (node.children or {}).values()]
 
-    def _spill(self, first: int) -> None:
-        """Moves the largest subtree, one first byte below this trie's depth, to a file."""
-        if first < 0 or len(self.sizes) == 1 and self.depth > 4096:
+    def _spill(self) -> None:
+        """Moves the largest subtree below the shared bytes to a file; a key that ends there stays."""
+        first = max((k for k in self.sizes if k >= 0), key=self.sizes.get, default=-1)
+        if first < 0:
             return
+        node, before = self.root, b""
+        while len(before) < self.depth:
+            child = next(iter(node.children.values()))
+            if len(before) + len(child.label) > self.depth:
+                break
+            node, before = child, before + child.label
+        else:
+            child = node.children[first]
+        del node.children[child.label[0]]
         self.spilled[first] = tempfile.TemporaryFile()
-        kept = PatriciaTrie(self.held, self.depth)
-        for key, owner in list(self._walk(self.root, b"")):
-            if len(key) > self.depth and key[self.depth] == first:
-                self._write(first, key, owner)
-            else:
-                kept._insert(key, owner)
-        self.root = kept.root
+        for key, owner in self._walk(child, before):
+            self._write(first, key, owner)
         self.size -= self.sizes.pop(first)
 
     def owners(self) -> Iterator[list]:
-        """Every owner once; spilled subtrees are built one at a time."""
-        for _, owner in self._walk(self.root, b""):
-            yield owner
-        self.root = Node(b"")
-        for file in self.spilled.values():
-            file.seek(0)
-            below = PatriciaTrie(self.held, self.depth + 1)
-            while head := file.read(40):
-                size, chars, row, rows, extra = np.frombuffer(head, "<i8").tolist()
-                below.add(file.read(size), [chars, row, rows, file.read(extra)])
+        """Every owner once; spilled subtrees are built one at a time, each from where its keys part."""
+        trie, waiting = self, []
+        while True:
+            for _, owner in trie._walk(trie.root, b""):
+                yield owner
+            trie.root = Node(b"")
+            waiting += trie.spilled.values()
+            if not waiting:
+                return
+            file = waiting.pop()
+            shared = None
+            for key, _ in self._read(file):
+                shared = key if shared is None else shared[: common(shared, key, 0)]
+            trie = PatriciaTrie(self.held, len(shared))
+            for key, owner in self._read(file):
+                trie.add(key, owner)
             file.close()
-            yield from below.owners()
 
 
 def _entries(batches: Iterator[pa.RecordBatch], members: bool) -> Iterator[pa.RecordBatch]:
@@ -221,7 +241,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are equal when identical without white space; null counts as empty. The row with the most
     code points stays, then the smallest id. A missing id sorts last and gives keep_id null. Rows that
     repeat an id are each counted; of fully equal rows all are marked as kept, as they share the id.
-    An empty table gives no rows. Extra columns are ignored.
+    An empty table gives no rows. Extra columns are ignored. Texts of any length are compared whole; a
+    partition whose keys exceed HELD_BYTES moves subtrees of its trie to files of its own task.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
     entries = rows.mapInArrow(
