@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,11 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary "
     "table tbody td tfoot th thead title tr ul".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+#: elements that end an open one of their kind
+ENDS = frozenset("p li tr td th dt dd option".split())
+CLOSE = {tag: re.compile(f"</{tag}\\b", re.I) for tag in RAW}
+START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+ATTRIBUTES = re.compile(r"""[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+""")
 NAME = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden|aria-label)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 AREAS = {
@@ -57,6 +62,8 @@ PART = re.compile(r"[a-z]+")
 SOME_LINKS, MOST_LINKS, TINY, SHORT, LONG, HUGE, STOPPED, HEADING, PARAGRAPH, ITEM, CELL, OUTSIDE, BIAS = range(20, 33)
 FEATURES = 33
 SCALE = 100
+#: share of the generated pages whose tags and names tell the areas
+TOLD = 0.6
 #: smoothness of neighbours of one parent, of other neighbours, and of blocks of one parent with others between
 NEAR, FAR, SAME_PARENT = 0.6, 0.15, 0.3
 
@@ -86,66 +93,91 @@ def attribute_areas(attributes: str) -> set[int]:
     return found
 
 
+def tags(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it closes, name and attributes of each tag; comments and the like have no name.
+
+    Contents of raw elements are skipped. A `>` in quotes doesn't end a tag. From a quote on that nothing ends, quotes
+    count as other characters do, and nothing after the last `>` is a tag, so no stretch of a page is read again and again.
+    """
+    at, last, quotes = 0, html.rfind(">"), True
+    while match := START.search(html, at):
+        start, at = match.span()
+        if match[1]:
+            close = html.find("-->", at)
+            at = close + 3 if close >= 0 else len(html)
+            yield start, at, False, "", ""
+            continue
+        if at > last:
+            return
+        end = -1
+        if quotes and match[4]:
+            end = ATTRIBUTES.match(html, at).end()
+            quotes = html[end : end + 1] == ">"
+        if end < 0 or not quotes:
+            end = html.index(">", at)
+        if not match[4]:
+            at = end + 1
+            yield start, at, False, "", ""
+            continue
+        name, attributes, at = match[4].lower(), html[match.end() : end], end + 1
+        if name in RAW and not match[3] and (not attributes.endswith("/") or name in ("script", "style", "textarea")):
+            close = CLOSE[name].search(html, at)
+            end = html.find(">", close.end()) if close else -1
+            at = end + 1 if end >= 0 else len(html)
+        yield start, at, bool(match[3]), name, attributes
+
+
 def blocks(html: str) -> list[tuple[Block, str]]:
     """The blocks of a page with text, in page order, and their text: white space is one space, trimmed."""
     found: list[Block] = []
     nothing: frozenset = frozenset()
-    stack: list[tuple[str, frozenset, int]] = [("", nothing, 0)]
+    # open elements: tag, areas, number, place of the nearest block element
+    stack: list[tuple[str, frozenset, int, int]] = [("", nothing, 0, 0)]
+    opened: Counter = Counter()
     parents, links = 1, 0
     block: Block | None = None
-    at, n = 0, len(html)
-    search = TOKEN.search
-    while at < n:
-        match = search(html, at)
-        text = html[at : match.start() if match else n]
+    at = 0
+
+    def close(place: int) -> int:
+        gone = 0
+        for name, *_ in stack[place:]:
+            opened[name] -= 1
+            gone += name == "a"
+        del stack[place:]
+        return gone
+
+    for start, end, closes, tag, attributes in chain(tags(html), [(len(html), len(html), False, "", "")]):
+        text = html[at:start]
         if text:
             if block is None:
-                tag, areas, parent = stack[-1]
-                for open_tag, _, number in reversed(stack):
-                    if open_tag in BLOCKS:
-                        tag, parent = open_tag, number
-                        break
-                block = Block(areas, tag, parent)
+                _, areas, parent, nearest = stack[-1]
+                if nearest:
+                    parent = stack[nearest][2]
+                block = Block(areas, stack[nearest or -1][0], parent)
                 found.append(block)
             block.parts.append(text)
             block.size += len(text)
             if links:
                 block.linked += len(text)
-        if match is None:
-            break
-        at = match.end()
-        tag = match[2]
-        if tag is None:
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if tag in BLOCKS:
             block = None
         elif tag == "br" and block is not None:
             block.parts.append(" ")
-        if match[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    links -= sum(s[0] == "a" for s in stack[i:])
-                    del stack[i:]
-                    break
+        if closes:
+            if opened[tag]:
+                place = len(stack) - 1
+                while stack[place][0] != tag:
+                    place -= 1
+                links -= close(place)
             continue
-        attributes = match[3]
-        if tag in RAW:
-            if not attributes.endswith("/") or tag in ("script", "style", "textarea"):
-                close = re.compile(f"</{tag}\\b[^>]*>", re.I).search(html, at)
-                at = close.end() if close else n
+        if tag in RAW or tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
-            continue
-        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") or tag in BLOCKS and stack[-1][0] == "p":
-            inside = "p" if tag not in ("li", "tr", "td", "th", "dt", "dd", "option") else tag
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == inside:
-                    links -= sum(s[0] == "a" for s in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+        nearest = stack[-1][3]
+        if nearest and tag in ENDS and stack[nearest][0] == tag or stack[-1][0] == "p" and tag in BLOCKS and tag not in ENDS:
+            links -= close(nearest)
         areas = stack[-1][1]
         own = {AREAS[tag]} if tag in AREAS else set()
         if attributes and not attributes.isspace() and tag not in ("html", "body"):
@@ -153,7 +185,8 @@ def blocks(html: str) -> list[tuple[Block, str]]:
         if own - areas:
             areas = areas | own
         links += tag == "a"
-        stack.append((tag, areas, parents))
+        opened[tag] += 1
+        stack.append((tag, areas, parents, len(stack) if tag in BLOCKS else stack[-1][3]))
         parents += 1
     out = []
     for b in found:
@@ -283,8 +316,8 @@ def main_text(html: str, weights: np.ndarray) -> tuple[str, int, int]:
     return "\n\n".join(kept), len(found), len(kept)
 
 
-def _made_page(rng: random.Random) -> tuple[str, list[bool]]:
-    """A page of the generator; blocks of its main text hold the word MAIN."""
+def _made_page(rng: random.Random, told: bool = True) -> tuple[str, list[bool]]:
+    """A page of the generator; blocks of its main text hold the word MAIN. If not `told`, no tag or name tells the areas."""
     syllables = "an the on re er st ing ti en le que ou ai de la ver ge ein".split()
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
     prose = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
@@ -292,6 +325,12 @@ def _made_page(rng: random.Random) -> tuple[str, list[bool]]:
     links = lambda n: "".join(f'<li><a href="/x">{prose(1, 3)}</a></li>' for _ in range(n))
 
     def clutter() -> str:
+        if not told:
+            inner = rng.choice(
+                [lambda: f"<ul>{links(rng.randint(3, 9))}</ul>", lambda: f"<div>{prose(1, 5)}</div><div>{prose(1, 6)}</div><div>{prose(2, 9)}</div>",
+                 lambda: f"<div>{prose(2, 7)}</div><p>{prose(3, 16)}</p><div>{prose(1, 4)}</div>", lambda: "".join(f'<div><a href="/z">{prose(1, 6)}</a></div>' for _ in range(rng.randint(2, 6)))]
+            )()
+            return f"<div>{inner}</div>"
         kind = rng.randrange(14)
         if kind == 0:
             return f"<nav><ul>{links(rng.randint(2, 8))}</ul></nav>"
@@ -325,6 +364,8 @@ def _made_page(rng: random.Random) -> tuple[str, list[bool]]:
         )
     whole = "".join(body)
     wrap = rng.choice(["<article>{}</article>"] * 4 + ["<main>{}</main>", '<div class="content">{}</div>', '<div id="post">{}</div>', "<main><article>{}</article></main>", "<div>{}</div>"])
+    if not told:
+        wrap = "<div>{}</div>"
     before, after = "".join(clutter() for _ in range(rng.randint(0, 4))), "".join(clutter() for _ in range(rng.randint(0, 4)))
     plain = f"<div>{prose(2, 12)}</div>" if "<div>{}" not in wrap and rng.random() < 0.3 else ""
     page = f"<html><head><title>{prose(2, 9)}</title></head><body>{before}{plain}{wrap.format(whole)}{after}</body></html>"
@@ -337,7 +378,7 @@ def fitted(pages: int = 700, seed: int = 5, rounds: int = 400) -> np.ndarray:
     rng = random.Random(seed)
     rows, marks = [], []
     for _ in range(pages):
-        page, good = _made_page(rng)
+        page, good = _made_page(rng, rng.random() < TOLD)
         found = blocks(page)
         article = any(6 in b.areas or 7 in b.areas for b, _ in found)
         for (b, text), mark in zip(found, good, strict=True):
@@ -358,7 +399,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of pages: page_id, url, text, n_chars, n_blocks, n_kept.
 
     Null and empty html, and pages without main text, give an empty text. Repeated and missing ids keep a
-    row each; extra columns are ignored.
+    row each; extra columns are ignored. A page of any length is read whole, in time that grows with its length.
     """
     weights = fitted()
 
