@@ -1,7 +1,7 @@
 """Secret scans: fixed rules, and a linear-chain conditional random field for what the rules don't name.
 
 The field tags each token of a line as O (outside), B (a secret begins) or I (inside). Features are the
-token's shape, the words before and after it, and how much its file looks like settings or code. It is
+token's shape, the hashed words before and after it, and how much its file looks like settings or code. It is
 fitted on lines that a seeded generator writes, so the corpus has no part in it. Decoding is Viterbi; a
 token whose emission lies so low that no transition could make it B or I is O on the best path, so the
 search runs only over the stretches between such tokens and gives the same path as over whole lines.
@@ -46,22 +46,15 @@ LETTERS = bytes(range(97, 123))
 CLASS = _table(LETTERS, LETTERS.upper(), b"0123456789", b"+/_", b"-.", bytes(range(128, 256)))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SIZES = (10, 64, 16, 32, 32, 8, 10, 4, 64)
+#: classes of a hashed neighbour; the next number stands for none on the line, that after it for one that the fit
+#: met fewer than COMMON times
+WORDS = 1 << 14
+COMMON = 20
+SIZES = (10, 64, 16, WORDS + 2, WORDS + 2, WORDS + 2, 8, 10, 4, 64)
+NEIGHBOURS = slice(3, 6)
 LENGTHS = np.array([4, 8, 12, 16, 20, 24, 32, 40, 64])
 
 
-def _keyword_hashes() -> tuple[np.ndarray, np.ndarray]:
-    found = []
-    for i, word in enumerate(KEYWORDS, 1):
-        raw = np.frombuffer(word.encode(), np.uint8)
-        found.append((int(range_hash(prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0]), i))
-    found.sort()
-    return np.array([h for h, _ in found], U64), np.array([i for _, i in found])
-
-
-KEY_HASH, KEY_NUMBER = _keyword_hashes()
-
-
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of the texts of a buffer: starts, ends, texts, lines (numbers) and feature codes of all tokens."""
     n = len(offsets) - 1
@@ -102,14 +95,12 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         + 8 * (5 * (vowels[end] - vowels[start]) < lower + upper)
     )
     hashes = range_hash(prefix_hash(low), start, end)
-    at = np.minimum(np.searchsorted(KEY_HASH, hashes), len(KEY_HASH) - 1)
-    word = np.where(KEY_HASH[at] == hashes, KEY_NUMBER[at], 0)
-    before, second = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    word = (hashes >> U64(50)).astype(np.int64)
+    before, second, after = (np.full(len(start), WORDS) for _ in range(3))
     same = line[1:] == line[:-1]
-    before[1:] = np.where(same, word[:-1], 31)
-    before[:1] = 31
-    second[2:] = np.where(line[2:] == line[:-2], word[:-2], 31)
-    second[:2] = 31
+    before[1:] = np.where(same, word[:-1], WORDS)
+    second[2:] = np.where(line[2:] == line[:-2], word[:-2], WORDS)
+    after[:-1] = np.where(same, word[1:], WORDS)
     signs = np.zeros(len(raw) + 1, np.int32)
     np.cumsum((raw == 58) | (raw == 61), out=signs[1:])
     gap = np.maximum(start, 1) - 1
@@ -122,7 +113,7 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     code = np.bincount(doc[(raw == 61) | (raw == 123) | (raw == 59)], minlength=n) / np.maximum(1, np.bincount(doc[raw == 10], minlength=n) + 1)
     file = np.searchsorted([0.05, 0.3, 1.0], code, "right")[of]
     two = low[start].astype(np.int64) * 31 + low[np.minimum(start + 1, end - 1)] if len(start) else start
-    codes = np.stack([length, mask, shape, before, second, between, following, file, two % 64])
+    codes = np.stack([length, mask, shape, before, second, after, between, following, file, two % 64])
     return start, end, of, line, codes.astype(np.int64)
 
 
@@ -132,15 +123,24 @@ class Field:
     def __init__(self):
         self.tables = [np.zeros((k, 3)) for k in SIZES]
         self.moves = np.zeros((3, 3))
+        self.rare = np.zeros(WORDS + 2, bool)
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros((codes.shape[1], 3))
-        for table, code in zip(self.tables, codes, strict=True):
+        for table, code in zip(self.tables, self.merged(codes), strict=True):
             out += table[code]
         return out
 
+    def merged(self, codes: np.ndarray) -> np.ndarray:
+        """codes with the rare neighbours as one class."""
+        codes = codes.copy()
+        codes[NEIGHBOURS][self.rare[codes[NEIGHBOURS]]] = WORDS + 1
+        return codes
+
     def fit(self, codes: np.ndarray, line: np.ndarray, states: np.ndarray, rounds: int = 80, rate: float = 0.25) -> None:
         """Conditional log-likelihood by AdaGrad; forward and backward sums run over all lines at once."""
+        self.rare[:WORDS] = np.bincount(codes[NEIGHBOURS].ravel(), minlength=WORDS)[:WORDS] < COMMON
+        codes = self.merged(codes)
         lines, of = np.unique(line, return_inverse=True)
         first = np.searchsorted(of, np.arange(len(lines)))
         place = np.arange(len(of)) - first[of]
@@ -261,6 +261,7 @@ def _made(rng: random.Random) -> list[tuple[str, bool]]:
                 lambda: f"https://{word()}.example.com/{word()}/{pick(num, 1, 5)}", lambda: word() * 3, lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(5, 10))).capitalize(), lambda: prose(3).upper(), lambda: f"{word()}_{word()}",
                 lambda: f"v{pick(num, 1, 1)}.{pick(num, 1, 2)}.{pick(num, 1, 2)}", lambda: f"{key} {prose(4)}", lambda: f"{key}: {word()}", lambda: f"{word().capitalize()}{word().capitalize()}",
                 lambda: " | ".join(word() for _ in range(5)), lambda: prose(6), lambda: f"{word()} = {pick(num, 1, 6)}", lambda: f"{word()}: {prose(3)}",
+                lambda: f"{prose(2)} is {prose(3)}", lambda: f"{key} is {word()}{word()}", lambda: f"{prose(1)} is {pick(low, 2, 2)} {word()}{word()}", lambda: prose(12),
             ]
         )
         pieces = [(plain(), False)]
@@ -306,50 +307,79 @@ def ordered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def find_secrets(raw: np.ndarray, offsets: np.ndarray, field: Field) -> list[list[tuple[int, int, str]]]:
-    """Per text of the buffer its spans, those of the rules and the field's that meet none of these."""
+def field_spans(raw: np.ndarray, offsets: np.ndarray, field: Field) -> list[list[tuple[int, int]]]:
+    """Per text of the buffer the field's spans in code points, in order."""
     found: list[list] = []
     for a, b in steps(offsets):
         part = raw[offsets[a] : offsets[b]]
         local = offsets[a : b + 1] - offsets[a]
-        body = part.tobytes()
-        texts = [body[x:y].decode("utf-8", "replace") for x, y in zip(local[:-1].tolist(), local[1:].tolist(), strict=True)]
-        spans = [base_spans(t) for t in texts]
         start, end, of, line, codes = tokens(part, local)
+        places: list[list] = [[] for _ in range(b - a)]
         for token, low, high in field.spans(start, end, line, codes):
             doc = int(of[token])
-            begin = int(local[doc])
             while high < local[doc + 1] and part[high] == 61:
                 high += 1
             while high > low + 1 and part[high - 1] in b".-":
                 high -= 1
-            first = len(body[begin:low].decode("utf-8", "replace"))
-            last = first + len(body[low:high].decode("utf-8", "replace"))
-            if all(last <= s or first >= e for s, e, _ in spans[doc]):
-                spans[doc].append((first, last, "field"))
-        found += [ordered(s) for s in spans]
+            places[doc].append((low, high))
+        if any(places):
+            # code points that begin before each byte
+            points = np.concatenate([[0], np.cumsum(part & 0xC0 != 0x80)])
+            base = points[local]
+            places = [[(int(points[x] - base[i]), int(points[y] - base[i])) for x, y in p] for i, p in enumerate(places)]
+        found += places
     return found
 
 
+def find_secrets(raw: np.ndarray, offsets: np.ndarray, field: Field) -> list[list[tuple[int, int, str]]]:
+    """Per text of the buffer its spans, those of the rules and the field's that meet none of these."""
+    found = []
+    for i, tagged in enumerate(field_spans(raw, offsets, field)):
+        base = base_spans(raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
+        found.append(ordered(base + [(a, b, "field") for a, b in apart(tagged, base)]))
+    return found
+
+
+def apart(tagged: list[tuple[int, int]], base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The tagged spans, which are in order, that meet no base span."""
+    out, at, reach = [], 0, 0
+    base = sorted(base)
+    for a, b in tagged:
+        # `reach` is the furthest end of the base spans that begin before b
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach <= a:
+            out.append((a, b))
+    return out
+
+
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+TAGGED = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, spans array<struct<kind,start,end>> in code points, ends exclusive.
+    """One row per row of docs: doc_id, spans array<struct<kind,start,end>> and tagged array<struct<start,end>> in code points, ends exclusive.
 
-    Spans are in order of start, then of KINDS. Null counts as empty, and neither it nor an empty text
-    has spans. Repeated and missing ids keep a row each; extra columns are ignored.
+    Spans are in order of start, then of KINDS; `tagged` has all of the field's, those that meet a rule's span
+    too. Null counts as empty, and neither it nor an empty text has spans. Repeated and missing ids keep a row
+    each; extra columns are ignored. A text of any length is read whole, in time that grows with its length.
     """
     kept = docs.sparkSession.sparkContext.broadcast(fitted())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = find_secrets(*text_bytes(batch.column(1)), kept.value)
-            spans = [[{"kind": k, "start": a, "end": b} for a, b, k in s] for s in found]
-            yield pa.record_batch({"doc_id": batch.column(0), "spans": pa.array(spans, SPANS)})
+            raw, offsets = text_bytes(batch.column(1))
+            tagged, spans = field_spans(raw, offsets, kept.value), []
+            for i, own in enumerate(tagged):
+                base = base_spans(raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
+                whole = ordered(base + [(a, b, "field") for a, b in apart(own, base)])
+                spans.append([{"kind": k, "start": a, "end": b} for a, b, k in whole])
+            tagged = [[{"start": a, "end": b} for a, b in own] for own in tagged]
+            yield pa.record_batch({"doc_id": batch.column(0), "spans": pa.array(spans, SPANS), "tagged": pa.array(tagged, TAGGED)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return rows.mapInArrow(scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>, tagged array<struct<start:long,end:long>>")
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
