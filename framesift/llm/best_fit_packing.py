@@ -1,21 +1,29 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Several sequence lengths are permitted. Documents are dealt by a hash of their id into groups of a bounded
-number of rows. A group packs its pieces in order of falling size: each goes into the open bin that it
-leaves with the least room; where none has room, a bin of the least-cost length for the piece is opened.
-The lengths are optimised jointly: a group weighs every policy "open at least this length" by the cost of
-its bins after each has been downsized to the shortest length that holds its contents, and keeps the best.
+Several sequence lengths are permitted. Documents are dealt by a hash into groups of a bounded number of
+rows. A group packs its pieces in order of falling size: each goes into the open bin that it leaves with the
+least room; where none has room, a bin of the least-cost length for the piece is opened. The lengths are
+optimised jointly: a group packs its pieces once for every choice of lengths that bins may open with (the
+longest is always one of them), weighs each by the cost of its bins after every bin has been downsized to the
+shortest permitted length that holds its contents, and keeps the best.
+
+Sizes are tokens of the byte-level BPE of byte_bpe.py.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framesift.llm.byte_bpe import count_tokens
+
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: a sequence costs its length, this much besides, and a share that grows with the square of its length
 FIXED_COST = 32
@@ -27,16 +35,17 @@ def cost(length: int) -> float:
     return FIXED_COST + length + SQUARE_COST * length * length
 
 
-def best_fit(sizes: Sequence[int], lengths: Sequence[int], least: int) -> tuple[list[int], list[int]]:
-    """The bin of each of the falling sizes, and what each bin holds, if bins open at `least` or longer.
+def best_fit(sizes: Sequence[int], lengths: Sequence[int]) -> tuple[list[int], list[int]]:
+    """The bin of each of the falling sizes, and what each bin holds, if bins open with one of the (rising) lengths.
 
-    Of the lengths from `least` on that hold the piece, the one with the least cost a token opens.
+    Of the lengths that hold the piece, the one with the least cost a token opens.
     """
+    # the least-cost length for pieces above each bound
+    cheapest = [min(lengths[i:], key=lambda n: (cost(n) / n, n)) for i in range(len(lengths))]
     where: list[int] = []
     used: list[int] = []
     room_of: dict[int, list[int]] = {}
     rooms = 0
-    opened: list[int] = []
     for size in sizes:
         above = rooms >> size
         if above:
@@ -45,11 +54,9 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int], least: int) -> tuple[
             if not room_of[room]:
                 rooms ^= 1 << room
         else:
-            fits = [n for n in lengths if n >= max(size, least)]
-            room = min(fits, key=lambda n: (cost(n) / n, n))
+            room = cheapest[bisect_left(lengths, size)]
             at = len(used)
             used.append(0)
-            opened.append(room)
         where.append(at)
         used[at] += size
         room -= size
@@ -68,21 +75,26 @@ def downsized(used: Sequence[int], lengths: Sequence[int]) -> list[int]:
 
 def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
     """Bin of each of the falling sizes, tokens and final length of each bin, at the least total cost."""
-    best = None
-    for least in lengths:
-        where, used = best_fit(sizes, lengths, least)
-        final = downsized(used, lengths)
-        total = sum(map(cost, final))
-        if best is None or total < best[0]:
-            best = total, where, used, final
+    best, price = None, {n: cost(n) for n in lengths}
+    for count in range(len(lengths)):
+        for some in combinations(lengths[:-1], count):
+            where, used = best_fit(sizes, (*some, lengths[-1]))
+            final = downsized(used, lengths)
+            total = sum(price[n] for n in final)
+            if best is None or total < best[0]:
+                best = total, where, used, final
     return best[1:]
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of equal ones before them in the partition, so that repeated rows part."""
+    seen: Counter = Counter()
     for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary())
-        n = [len(t.as_py().split()) if t.is_valid else 0 for t in texts]
-        yield pa.record_batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64())})
+        again = []
+        for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            again.append(seen[key])
+            seen[key] += 1
+        yield pa.record_batch({"doc_id": batch.column(0), "n": batch.column(1), "again": pa.array(again, pa.int64())})
 
 
 def _pack_group(lengths: Sequence[int]):
@@ -126,21 +138,25 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     size_col: str | None = None,
+    rank_file: str | None = None,
+    pattern: str | None = None,
 ) -> DataFrame:
     """One row per piece of a document: doc_id, piece, start, n_tokens, bin_group, bin, bin_offset, bin_used, bin_length.
 
-    Sizes are those of size_col, or the number of words between white space. A document longer than the
-    longest length is cut into pieces of that length and a rest, so no token is dropped. A document
-    without tokens, null ones too, has one row and no bin. Repeated and missing ids are packed as rows of
-    their own. A bin is the pair (bin_group, bin). Extra columns are ignored; an empty table gives no rows.
+    Sizes are those of size_col, or the number of tokens of the whole text by the ranks of rank_file and the pre-split
+    pattern (those of the public tokenizer PUBLIC_RANKS unless given). A document longer than the longest length is cut into
+    pieces of that length and a rest, so no token is dropped. A document without tokens, null ones too, has one row
+    and no bin. Repeated and missing ids are packed as rows of their own; equal rows are spread over the groups. A
+    bin is the pair (bin_group, bin). Extra columns are ignored; an empty table gives no rows.
     """
     lengths = tuple(sorted(set(lengths)))
     row = F.col(id_col).cast("long").alias("doc_id")
     if size_col is None:
-        sized = docs.select(row, F.col(text_col).cast("string").alias("text")).mapInArrow(_counts, "doc_id long, n long")
+        sized = count_tokens(docs, rank_file, pattern, id_col, text_col)
     else:
         sized = docs.select(row, F.greatest(F.lit(0), F.coalesce(F.col(size_col).cast("long"), F.lit(0))).alias("n"))
     groups = max(1, -(-docs.count() // group_rows))
-    dealt = sized.withColumn("part", F.pmod(F.xxhash64("doc_id", "n"), F.lit(groups)))
+    dealt = sized.mapInArrow(_spread, "doc_id long, n long, again long")
+    dealt = dealt.select("doc_id", "n", F.pmod(F.xxhash64("doc_id", "n", "again"), F.lit(groups)).alias("part"))
     schema = "doc_id long, piece long, start long, n_tokens long, bin_group long, bin long, bin_offset long, bin_used long, bin_length long"
     return dealt.groupBy("part").applyInArrow(_pack_group(lengths), schema)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from framesift.llm.common import worker_path
 
+#: rank file of the public tokenizers by which token counts are made
+PUBLIC_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: texts above so many characters are cut into pieces of about this size
 PIECE_CHARS = 16_384
 #: a match can't go on over the place before such a space
@@ -92,6 +94,19 @@ def _digests(enc, rows: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     )
 
 
+def _counted(enc, rows: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    return pa.record_batch({"doc_id": rows, "n": pa.array([len(encode(enc, t or "")) for t in texts.to_pylist()], pa.int64())})
+
+
+def count_tokens(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n: the number of tokens of every whole text, 0 for null, by the ranks and pattern of PUBLIC_RANKS unless given."""
+    import public_tokenizers
+
+    ranks, pattern = ranks or public_tokenizers.path(PUBLIC_RANKS), pattern or public_tokenizers.PATTERN
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(lambda it: _over(it, ranks, pattern, _counted), "doc_id long, n long")
+
+
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>: the tokens of every whole text; null and empty texts have none.
 
