@@ -25,9 +25,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one is set only where none is (tests on one machine)."""
+    """The shared folder of the session; one is set only where none is and all runs on one machine."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="framesift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", there)
     if spark.sparkContext.getCheckpointDir() is None:

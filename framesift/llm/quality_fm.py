@@ -228,10 +228,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     )
     texts = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
     # `rows` bounds what is broadcast; the order by hash makes the fit the same however the rows lie
-    joined = texts.join(F.broadcast(chosen), "row").select("text", "label", "row")
+    joined = texts.join(F.broadcast(chosen), "row")
+    # one text an id, that with the least hash, so `rows` bounds what is collected as well
+    joined = joined.groupBy("row").agg(F.min("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = joined.select("text", "label").mapInArrow(_extract, "label int, statistics binary, slots binary, values binary").collect()
     found.sort(key=lambda r: (r.statistics, r.slots, r.label))
-    found = found[: 2 * rows]
     table = np.array([np.frombuffer(r.statistics, np.float32) for r in found], np.float32).reshape(len(found), len(STATISTICS))
     cuts = np.linspace(0, 1, BINS + 1)[1:-1]
     edges = np.quantile(table, cuts, axis=0).T.astype(np.float32) if len(found) else np.zeros((len(STATISTICS), BINS - 1), np.float32)

@@ -124,6 +124,37 @@ def test_op2():
     assert np.mean(right) > 0.98
 
 
+def test_op2_cut_decides_where_no_name_tells(monkeypatch):
+    """On pages without telling tags or names, the cut is right more often than the classifier alone."""
+    from framesift.llm import html_extract as H
+
+    weights, held = H.fitted(), random.Random(77)
+    made = [(H.blocks(page), good) for page, good in (H._made_page(held, False) for _ in range(250))]
+    share = lambda: np.mean([a == b for found, good in made for a, b in zip(H.label(found, weights), good, strict=True)])
+    cut = share()
+    for name in ("NEAR", "FAR", "SAME_PARENT"):
+        monkeypatch.setattr(H, name, 0)
+    alone = share()
+    assert cut > 0.985 and 1 - cut < 0.75 * (1 - alone)
+
+
+HOSTILE = [
+    "<a b='" * 170_000, "<span>" * 70_000 + "</b>" * 70_000, "<span>" * 70_000 + "<p></p>" * 70_000, "<!" * 400_000, "<script>" + "</script" * 100_000,
+    "<a \"'> " * 150_000, "<" * 500_000, "<a" * 400_000 + ">", "<p><b><div>" + "<span>" * 70_000 + "<p></p>" * 70_000, "<div>x" * 50_000, "<p>x y z w</p>" * 50_000,
+]
+
+
+@pytest.mark.parametrize("page", HOSTILE, ids=range(len(HOSTILE)))
+def test_op2_time_grows_with_the_page(page):
+    import time
+
+    from framesift.llm import html_extract as H
+
+    weights, began = H.fitted(), time.process_time()
+    H.main_text(page, weights)
+    assert time.process_time() - began < 15
+
+
 def test_op2_rows(spark):
     from framesift.llm.html_extract import extract
 
@@ -408,6 +439,25 @@ def test_op7_trie_spills():
         assert got == sorted((k, *min(v), len(v)) for k, v in want.items())
 
 
+def test_op7_long_shared_prefixes():
+    """Keys that share thousands of bytes spill level by level where they part; a hot key takes room once."""
+    from framesift.llm.exact_dedup import PatriciaTrie
+
+    rng = random.Random(6)
+    shared = bytes(rng.choice(b"xy") for _ in range(3000))
+    keys = [shared[: rng.choice([3000, 3000, 1500])] + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 20))) for _ in range(300)]
+    keys += [b"a" * n for n in range(0, 3000, 100)] + [shared] * 500 + [b"", b"z"]
+    trie, want = PatriciaTrie(2000), defaultdict(int)
+    for i, key in enumerate(keys):
+        trie.add(key, [0, i, 1, key])
+        want[key] += 1
+    assert sorted((o[3], o[2]) for o in trie.owners()) == sorted(want.items())
+    hot = PatriciaTrie(20_000)
+    for i in range(50):
+        hot.add(shared, [0, i, 1, shared])
+    assert not hot.spilled and hot.size < 20_000
+
+
 def test_op8(docs, odd, empty, spark):
     from framesift.llm.secret_crf import Field, find_secrets, fitted, redact, scan_secrets, tokens
     from framesift.llm.common import text_bytes
@@ -426,17 +476,87 @@ def test_op8(docs, odd, empty, spark):
     raw, offsets = text_bytes(pa.array([*texts, *(t or "" for _, t in ROWS)]))
     start, end, _, line, codes = tokens(raw, offsets)
     assert fitted().spans(start, end, line, codes) == whole.spans(start, end, line, codes)
+    rng = random.Random(2)
+    spans = sorted((a, a + rng.randint(1, 9), "hex") for a in rng.sample(range(3000), 80))
+    tagged = [(a, a + 5) for a in range(0, 3000, 7)]
+    from framesift.llm.secret_crf import apart
+
+    assert apart(tagged, spans) == [(a, b) for a, b in tagged if all(b <= s or a >= e for s, e, _ in spans)]
     assert scan_secrets(odd).count() == 7 and scan_secrets(empty).count() == 0 and scan_secrets(docs).count() == len(ROWS)
     table = spark.createDataFrame([(1, texts[0], 9), (2, None, None)], "doc_id long, text string, n_chars long")
     assert sorted((r.doc_id, r.text, r.n_chars) for r in redact(table).collect()) == [(1, 'é [SECRET]" end', 15), (2, None, None)]
 
 
+def foreign_line(rng: random.Random) -> tuple[str, str | None]:
+    """A line of settings as no line of the fit is written, and its secret."""
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mixed = letters + letters.upper() + "0123456789"
+    secret = rng.choice([pick("0123456789abcdef", 40), pick(mixed, 32), pick(mixed, 24), "ghp_" + pick(mixed, 36), "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)])
+    name, text = pick(letters, 6), " ".join(rng.choice(WORDS) for _ in range(6))
+    shapes = ["export {n}_TOKEN={s}", "  - name: {n}\n    secret: {s}", '{{"{n}": "{t}", "api_key": "{s}"}}', "curl -H 'X-Auth: {s}' https://{n}.example.org", "--password {s} --verbose", "{n} login {n} password {s}", "<add key='{n}Secret' value='{s}'/>"]
+    plain = ["export {n}_HOME=/opt/{n}/bin", "  - name: {n}\n    image: {n}", '{{"{n}": "{t}", "size": 12}}', "curl https://{n}.example.org/v2/{n}", "{t}, {t}. {t}", "{t} is {t}", "<add key='{n}' value='true'/>"]
+    chosen = rng.choice(shapes if rng.random() < 0.5 else plain)
+    return chosen.format(n=name, t=text, s=secret), secret if "{s}" in chosen else None
+
+
+def test_op8_field_alone():
+    """The field's own tags, before any is dropped for a rule's span, on lines of another generator than the fit's."""
+    from framesift.llm.common import text_bytes
+    from framesift.llm.secret_crf import field_spans, fitted
+
+    rng = random.Random(31)
+    made = [foreign_line(rng) for _ in range(600)]
+    hit = wrong = 0
+    for (line, secret), spans in zip(made, field_spans(*text_bytes(pa.array([m[0] for m in made])), fitted()), strict=True):
+        a = line.find(secret) if secret else -1
+        hit += any(x < a + len(secret) and y > a for x, y in spans) if secret else 0
+        wrong += any(secret is None or y <= a or x >= a + len(secret) for x, y in spans)
+    secrets = sum(s is not None for _, s in made)
+    assert hit / secrets > 0.9 and hit / (hit + wrong) > 0.9, (hit, secrets, wrong)
+
+
+def test_op8_time_grows_with_the_text():
+    import time
+
+    from framesift.llm.common import text_bytes
+    from framesift.llm.secret_crf import find_secrets, fitted
+
+    field, text = fitted(), 'token = "0123456789abcdef0123456789abcdef01234567" é\n' * 20_000
+    began = time.process_time()
+    (found,) = find_secrets(*text_bytes(pa.array([text])), field)
+    assert len(found) == 40_000 and time.process_time() - began < 30
+
+
+def least_cost(items: tuple, lengths: tuple) -> float:
+    """The least cost of any packing, by trying every set of companions of the first item."""
+    import itertools
+
+    from framesift.llm.best_fit_packing import cost
+
+    if not items:
+        return 0
+    first, rest, best = items[0], items[1:], float("inf")
+    for n in range(len(rest) + 1):
+        for some in itertools.combinations(range(len(rest)), n):
+            used = first + sum(rest[i] for i in some)
+            if used <= lengths[-1]:
+                left = tuple(x for i, x in enumerate(rest) if i not in some)
+                best = min(best, cost(min(k for k in lengths if k >= used)) + least_cost(left, lengths))
+    return best
+
+
 def test_op9(docs, odd, empty):
     from framesift.llm.best_fit_packing import LENGTHS, cost, pack, pack_documents
 
     lengths = (8, 16, 64)
     got = pack_documents(docs, lengths, group_rows=20).collect()
-    sizes = {row: len((t or "").encode().split()) for row, t in ROWS}
+    import public_tokenizers
+
+    from framesift.llm.byte_bpe import encoding
+
+    enc = encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    sizes = {row: len(enc.encode_ordinary(t or "")) for row, t in ROWS}
     total, bins = defaultdict(int), defaultdict(list)
     for r in got:
         total[r.doc_id] += r.n_tokens
@@ -456,6 +576,15 @@ def test_op9(docs, odd, empty):
         where, used, final = pack(items)
         alone = sum(cost(min(n for n in LENGTHS if n >= i)) for i in items)
         assert sum(map(cost, final)) < alone and sum(used) == sum(items) and max(where) == len(used) - 1
+    short = (10, 20, 50)
+    worst = []
+    for _ in range(60):
+        items = sorted((rng.randint(1, 50) for _ in range(rng.randint(1, 7))), reverse=True)
+        spent = sum(map(cost, pack(items, short)[2]))
+        worst.append(spent / least_cost(tuple(items), short))
+    assert min(worst) >= 1 - 1e-9 and max(worst) < 1.35 and np.mean(worst) < 1.05
+    repeats = pack_documents(odd.sparkSession.range(100).selectExpr("CAST(NULL AS LONG) AS doc_id", "50 AS n"), group_rows=10, size_col="n").collect()
+    assert len(repeats) == 100 and len({r.bin_group for r in repeats}) > 5
     assert pack_documents(odd).count() == 7 and pack_documents(empty).count() == 0
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from test_operators import classes, fingerprint_by_hand, lines_by_brute_force, prose
 
 import corpus_pipeline
+from framesift.llm.byte_bpe import encoding
 from framesift.llm.common import text_bytes
 
 
@@ -44,14 +46,14 @@ def test_run(spark, folder):
     roots = classes([fingerprint_by_hand(texts[i]) for i in order], lambda a, b: (a ^ b).bit_count() <= 3)
     texts = {i: texts[i] for n, (i, r) in enumerate(zip(order, roots, strict=True)) if n == r}
     found = find_secrets(*text_bytes(pa.array(list(texts.values()))), fitted())
-    sizes = {}
+    sizes, enc = {}, encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     for (i, text), spans in zip(texts.items(), found, strict=True):
         out, end = "", 0
         for a, b, _ in spans:
             if a >= end:
                 out += text[end:a] + "[SECRET]"
             end = max(end, b)
-        sizes[i] = len((out + text[end:]).encode().split())
+        sizes[i] = len(enc.encode_ordinary(out + text[end:]))
     got = corpus_pipeline.run(spark, folder).collect()
     total = dict.fromkeys(texts, 0)
     for r in got:
