@@ -1,10 +1,11 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
-The items of a text are its k-mers of words, each with its occurrence number. All items are hashed once
-and sorted by hash. Hash function j is the hash less j/m of the hash range, round the circle, which is
-as uniform as any other, so its `l` minimal items are the first `l` from that point of the sorted circle.
-They are put back in text order, and the hash of the tuple of k-mers is entry j of the signature. Two
-signatures agree where the same k-mers are minimal and in the same order, as edits rarely leave them.
+The items of a text are its k-mers of words, each with its occurrence number, which counts equal 64-bit
+hashes. CIRCLES independent hashes order the items; each serves m / CIRCLES hash functions: function j of a
+circle is the hash less a share j of the hash range, round the circle, which is as uniform as any other, so
+its `l` minimal items are the first `l` from that point of the sorted circle. They are put back in text
+order, and the hash of the tuple of k-mers is an entry of the signature. Two signatures agree where the same
+k-mers are minimal and in the same order, as edits rarely leave them.
 
 Neighbouring documents meet inside ranges of ids: a range also gets a copy of the first document of the
 next one (the last range: of the first), so a window over each range sees every document's successor.
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 K = 3
 L = 2
 M = 64
+#: independent hashes, each turned M / CIRCLES ways
+CIRCLES = 8
 SPACE = r"[\\x20\\x09-\\x0D]+"
 #: low bits of an item that hold its place in the text
 PLACE = 30
@@ -31,33 +34,37 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def signature_sql(text: str, k: int = K, take: int = L, m: int = M) -> str:
+def signature_sql(text: str, k: int = K, take: int = L, m: int = M, circles: int = CIRCLES) -> str:
     """SQL of the signature of a text column: an array of m longs below 2**32, empty for a text without words."""
+    turns = m // circles
     words = f"filter(split({text}, '{SPACE}'), w -> w <> '')"
     kmer = ", ".join(f"ws[i + {d}]" for d in range(k))
     hashes = (
         f"CASE WHEN size(ws) < {k} THEN array(xxhash64(array_join(ws, ' '))) "
         f"ELSE transform(sequence(0, size(ws) - {k}), i -> xxhash64({kmer})) END"
     )
-    top = f"shiftleft(shiftright(%s, {PLACE}), {PLACE})"
-    packed = f"sort_array(transform(hs, (h, i) -> {top % 'h'} | cast(i AS bigint)))"
-    runs = f"filter(sequence(0, size(ss) - 1), i -> i = 0 OR shiftright(ss[i], {PLACE}) <> shiftright(ss[greatest(i - 1, 0)], {PLACE}))"
+    # hash and place of every item; where hashes repeat, those after the first are hashed with their number
+    plain = "transform(hs, (h, i) -> struct(h AS h, i AS p))"
+    runs = "filter(sequence(0, size(ss) - 1), i -> i = 0 OR ss[i].h <> ss[greatest(i - 1, 0)].h)"
     numbered = (
-        "sort_array(flatten(transform(rs, (a, r) -> transform("
+        "flatten(transform(rs, (a, r) -> transform("
         "slice(ss, a + 1, (CASE WHEN r + 1 < size(rs) THEN rs[r + 1] ELSE size(ss) END) - a), "
-        f"(x, c) -> CASE WHEN c = 0 THEN x ELSE {top % f'xxhash64(shiftright(x, {PLACE}), c)'} | (x & {MASK}L) END))))"
+        "(x, c) -> struct(CASE WHEN c = 0 THEN x.h ELSE xxhash64(x.h, c) END AS h, x.p AS p))))"
     )
-    bits = (m - 1).bit_length()
-    bin_of = f"cast(shiftright(%s, {64 - bits}) + {m // 2} AS int)"
-    starts = f"filter(sequence(0, size(ts) - 1), i -> i = 0 OR {bin_of % 'ts[i]'} <> {bin_of % 'ts[greatest(i - 1, 0)]'})"
-    bins = f"transform(fs, i -> {bin_of % 'ts[i]'})"
-    start = "CASE WHEN array_position(gs, j) > 0 THEN fs[cast(array_position(gs, j) AS int) - 1] ELSE coalesce(get(filter(fs, (i, q) -> gs[q] > j), 0), 0) END"
-    places = f"sort_array(transform(sequence(0, least({take}, size(ts)) - 1), d -> ts[(a + d) % size(ts)] & {MASK}L))"
+    repeated = let(f"sort_array({plain})", "ss", let(runs, "rs", numbered))
+    items = f"CASE WHEN size(array_distinct(hs)) = size(hs) THEN {plain} ELSE {repeated} END"
+    circle = f"sort_array(transform(ts, x -> shiftleft(shiftright(xxhash64(x.h, q), {PLACE}), {PLACE}) | cast(x.p AS bigint)))"
+    bits = (turns - 1).bit_length()
+    bin_of = f"cast(shiftright(%s, {64 - bits}) + {turns // 2} AS int)" if bits else "0"
+    bin_at = lambda x: bin_of % x if bits else bin_of
+    starts = f"filter(sequence(0, size(us) - 1), i -> i = 0 OR {bin_at('us[i]')} <> {bin_at('us[greatest(i - 1, 0)]')})"
+    bins = f"transform(fs, i -> {bin_at('us[i]')})"
+    start = "CASE WHEN array_position(gs, j) > 0 THEN fs[cast(array_position(gs, j) AS int) - 1] ELSE coalesce(get(filter(fs, (i, g) -> gs[g] > j), 0), 0) END"
+    places = f"sort_array(transform(sequence(0, least({take}, size(us)) - 1), d -> us[(a + d) % size(us)] & {MASK}L))"
     entry = f"xxhash64(transform({places}, p -> hs[cast(p AS int)])) & 4294967295L"
-    signature = f"transform(sequence(0, {m - 1}), j -> {let(start, 'a', entry)})"
-    body = let(starts, "fs", let(bins, "gs", signature))
-    items = let(runs, "rs", let(f"CASE WHEN size(rs) = size(ss) THEN ss ELSE {numbered} END", "ts", body))
-    whole = let(hashes, "hs", let(packed, "ss", items))
+    turned = f"transform(sequence(0, {turns - 1}), j -> {let(start, 'a', entry)})"
+    signature = f"flatten(transform(sequence(0, {circles - 1}), q -> {let(circle, 'us', let(starts, 'fs', let(bins, 'gs', turned)))}))"
+    whole = let(hashes, "hs", let(items, "ts", signature))
     return let(words, "ws", f"CASE WHEN size(ws) = 0 THEN cast(array() AS array<bigint>) ELSE {whole} END")
 
 
@@ -97,11 +104,12 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The edited text has the last floor(n_chars / 4) code points replaced by the first as many of the next
     document in ascending order of id, the last document's next being the first. Null counts as empty. A
-    missing id sorts before all others; rows with one id are in order of a hash of their texts, then of the
-    texts. A single row is its own next. A text of one or two words is one k-mer. An empty table gives no rows.
+    missing id sorts before all others, by a hash of its text among the ids below -2**62; rows with one id are in order of a
+    hash of their texts, then of the texts. Texts of up to 2**30 words are fingerprinted whole. A single row is its own next. A text of one or two words is one k-mer. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    missing = F.lit(-(1 << 63)) + F.pmod(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(1 << 62))
+    key = F.coalesce(F.col(id_col).cast("long"), missing)
     ranges = ranges or RANGES_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = range_bounds(docs.select(key.alias("key")), "key", ranges) or [0]
     row = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
