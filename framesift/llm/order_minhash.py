@@ -20,7 +20,7 @@ K = 3
 L = 2
 M = 64
 #: independent hashes, each turned M / CIRCLES ways
-CIRCLES = 8
+CIRCLES = 4
 SPACE = r"[\\x20\\x09-\\x0D]+"
 #: low bits of an item that hold its place in the text
 PLACE = 30
@@ -43,17 +43,20 @@ def signature_sql(text: str, k: int = K, take: int = L, m: int = M, circles: int
         f"CASE WHEN size(ws) < {k} THEN array(xxhash64(array_join(ws, ' '))) "
         f"ELSE transform(sequence(0, size(ws) - {k}), i -> xxhash64({kmer})) END"
     )
-    # hash and place of every item; where hashes repeat, those after the first are hashed with their number
-    plain = "transform(hs, (h, i) -> struct(h AS h, i AS p))"
+    # top of the hash and place of every item; where hashes repeat, those after the first are hashed with their number
+    top = f"shiftleft(shiftright(%s, {PLACE}), {PLACE}) | cast(%s AS bigint)"
+    packed = f"sort_array(transform(hs, (h, i) -> {top % ('h', 'i')}))"
+    alike = f"exists(sequence(1, greatest(size(ps) - 1, 1)), i -> shiftright(get(ps, i), {PLACE}) = shiftright(ps[i - 1], {PLACE}))"
     runs = "filter(sequence(0, size(ss) - 1), i -> i = 0 OR ss[i].h <> ss[greatest(i - 1, 0)].h)"
     numbered = (
         "flatten(transform(rs, (a, r) -> transform("
         "slice(ss, a + 1, (CASE WHEN r + 1 < size(rs) THEN rs[r + 1] ELSE size(ss) END) - a), "
-        "(x, c) -> struct(CASE WHEN c = 0 THEN x.h ELSE xxhash64(x.h, c) END AS h, x.p AS p))))"
+        f"(x, c) -> {top % ('CASE WHEN c = 0 THEN x.h ELSE xxhash64(x.h, c) END', 'x.p')})))"
     )
-    repeated = let(f"sort_array({plain})", "ss", let(runs, "rs", numbered))
-    items = f"CASE WHEN size(array_distinct(hs)) = size(hs) THEN {plain} ELSE {repeated} END"
-    circle = f"sort_array(transform(ts, x -> shiftleft(shiftright(xxhash64(x.h, q), {PLACE}), {PLACE}) | cast(x.p AS bigint)))"
+    repeated = let("sort_array(transform(hs, (h, i) -> struct(h AS h, i AS p)))", "ss", let(runs, "rs", f"sort_array({numbered})"))
+    items = let(packed, "ps", f"CASE WHEN {alike} THEN {repeated} ELSE ps END")
+    turned_items = f"sort_array(transform(ts, x -> {top % (f'xxhash64(shiftright(x, {PLACE}), q)', f'(x & {MASK}L)')}))"
+    circle = f"CASE WHEN q = 0 THEN ts ELSE {turned_items} END"
     bits = (turns - 1).bit_length()
     bin_of = f"cast(shiftright(%s, {64 - bits}) + {turns // 2} AS int)" if bits else "0"
     bin_at = lambda x: bin_of % x if bits else bin_of

