@@ -89,6 +89,13 @@ def to_s16(x: Column) -> Column:
     )
 
 
+def qindex_of_crf(crf: Column) -> Column:
+    """The base quantiser index of a quality from 0 to 63; null outside."""
+    # fixed values: steps of 4 up to 61, then 249 and 255; index 0, lossless, is not used
+    index = F.when(crf == 62, 249).when(crf == 63, 255).otherwise(F.greatest(crf * 4, F.lit(1)))
+    return F.when(crf.between(0, 63), index).cast("int")
+
+
 def deadzone(v: Column, step: Column) -> Column:
     """sign(v) * ((|v| + step / 2) / step): half away from zero for even steps."""
     return (F.signum(v) * F.floor((F.abs(v) + F.floor(step / 2)) / step)).cast("long")

@@ -37,17 +37,19 @@ def byte_histogram(rows: DataFrame, keys: Sequence[str], data: Column) -> DataFr
 
 
 def adler32(rows: DataFrame, key: str, data: Column) -> DataFrame:
-    """key, adler: both sums are associative, so they are plain aggregates over the bytes of a row's data.
+    """key, adler: one fold over the bytes of a row, so no byte becomes a row and nothing is shuffled.
 
-    a = 1 + sum(b), c = n + sum((n - i) b), each modulo 65521; adler = c * 65536 + a.
+    a = 1 + sum(b) and c = sum of a after each byte, modulo 65521; adler = c * 65536 + a.
     """
-    sized = rows.select(key, F.octet_length(data).cast("long").alias("n"), data.alias("data"))
-    bytes_ = byte_rows(sized, [key, "n"], F.col("data"))
-    sums = bytes_.groupBy(key, "n").agg(F.sum("b").alias("s"), F.sum((F.col("n") - F.col("i")) * F.col("b")).alias("t"))
-    done = sized.select(key, "n").join(sums.select(key, "s", "t"), key, "left")
-    a = (1 + F.coalesce("s", F.lit(0))) % ADLER
-    c = (F.col("n") + F.coalesce("t", F.lit(0))) % ADLER
-    return done.select(key, (c * 65536 + a).cast("long").alias("adler"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def step(sums: Column, c: Column) -> Column:
+        a = (sums["a"] + F.ascii(c)) % ADLER
+        return F.struct(a.alias("a"), ((sums["c"] + a) % ADLER).alias("c"))
+
+    characters = F.filter(byte_characters(data), lambda c: c != "")
+    folded = F.aggregate(characters, F.struct(one.alias("a"), zero.alias("c")), step, lambda sums: sums["c"] * 65536 + sums["a"])
+    return rows.select(key, folded.alias("adler"))
 
 
 def shuffled(data: Column, element: int) -> Column:
@@ -73,8 +75,22 @@ def repeated_grams(rows: DataFrame, key: str, text: str, size: int, window: int)
     return near.where(F.col("distance") <= window).select(key, F.col("at").cast("long").alias("at"), F.col("distance").cast("long").alias("distance"))
 
 
+def deflate_symbols(matches: DataFrame, keys: Sequence[str], distance: str) -> DataFrame:
+    """keys, code, extra, n: how often each distance code of deflate occurs, and the extra bits that follow one.
+
+    Above a distance of 4 a code is the length of distance - 1 in bits and the bit below the highest.
+    """
+    less = F.col(distance) - 1
+    bits = F.length(F.bin(less)) - 2
+    below = F.expr(f"shiftright({distance} - 1, cast(greatest(length(bin({distance} - 1)) - 2, 0) AS int)) & 1")
+    code = F.when(less < 2, less).otherwise(2 * (bits + 1) + below)
+    extra = F.when(less < 4, 0).otherwise(bits)
+    counted = matches.select(*keys, code.cast("int").alias("code"), extra.cast("int").alias("extra"))
+    return counted.groupBy(*keys, "code", "extra").agg(F.count("*").cast("long").alias("n"))
+
+
 def joined_bytes(parts: DataFrame, keys: Sequence[str], order_by: str, data: str, out: str = "data") -> DataFrame:
     """keys and the ordered concatenation of binary parts."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order_by), F.col(data))))
     grouped = parts.groupBy(*keys).agg(F.transform(ordered, lambda p: p[data]).alias("_parts"))
-    return grouped.select(*keys, F.aggregate("_parts", F.lit(b""), lambda s, p: F.concat(s, p)).alias(out))
+    return grouped.select(*keys, F.unhex(F.array_join(F.transform("_parts", lambda p: F.hex(p)), "")).alias(out))

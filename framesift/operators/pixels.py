@@ -62,8 +62,8 @@ def exact_palette(pixels: DataFrame, color: Column, limit: int = 256) -> DataFra
     return ranked.where(F.col("n") <= limit).select("rank", "color")
 
 
-def nearest_color(points: DataFrame, id_col: str, point: str, palette: Sequence[Sequence[int]]) -> DataFrame:
-    """id, entry, distance: the palette entry at the least squared distance, the lowest on ties.
+def nearest_color(points: DataFrame, id_cols: str | Sequence[str], point: str, palette: Sequence[Sequence[int]]) -> DataFrame:
+    """ids, entry, distance: the palette entry at the least squared distance, the lowest on ties.
 
     The palette is a literal of 256 entries at most, so nothing is joined: one projection per row.
     """
@@ -74,7 +74,8 @@ def nearest_color(points: DataFrame, id_col: str, point: str, palette: Sequence[
             F.aggregate(F.zip_with(F.col(point), entry, lambda p, q: (p - q) * (p - q)), F.lit(0).cast("long"), lambda s, d: s + d).alias("distance"), i.alias("entry")
         ),
     )
-    return points.select(id_col, F.array_min(squared).alias("b")).select(id_col, F.col("b.entry").cast("int").alias("entry"), F.col("b.distance").alias("distance"))
+    ids = [id_cols] if isinstance(id_cols, str) else [*id_cols]
+    return points.select(*ids, F.array_min(squared).alias("b")).select(*ids, F.col("b.entry").cast("int").alias("entry"), F.col("b.distance").alias("distance"))
 
 
 def squared_error(a: DataFrame, b: DataFrame, keys: Sequence[str], group: str) -> DataFrame:

@@ -16,14 +16,15 @@ def cosine_basis(n: int) -> list[list[float]]:
     return [[math.sqrt((1 if k == 0 else 2) / n) * math.cos(math.pi * (2 * i + 1) * k / (2 * n)) for i in range(n)] for k in range(n)]
 
 
-def basis_transform(vectors: DataFrame, id_col: str, vector: str, basis: Sequence[Sequence[float]]) -> DataFrame:
-    """id, k, coef = sum over i of basis[k][i] x[i], as one projection: the basis is a literal, nothing is joined."""
+def basis_transform(vectors: DataFrame, id_cols: str | Sequence[str], vector: str, basis: Sequence[Sequence[float]]) -> DataFrame:
+    """ids, k, coef = sum over i of basis[k][i] x[i], as one projection: the basis is a literal, nothing is joined."""
     table = F.array(*(F.array(*(F.lit(float(b)) for b in row)) for row in basis))
     dot = F.transform(
         table,
         lambda row: F.aggregate(F.zip_with(F.col(vector), row, lambda x, b: x.cast("double") * b), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0))),
     )
-    return vectors.select(id_col, F.posexplode(dot).alias("k", "coef"))
+    ids = [id_cols] if isinstance(id_cols, str) else [*id_cols]
+    return vectors.select(*ids, F.posexplode(dot).alias("k", "coef"))
 
 
 def walsh4(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column, Column, Column]:

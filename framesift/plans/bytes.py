@@ -35,6 +35,11 @@ def lz_match_candidates(spark, sf):
     return Y.repeated_grams(table(spark, sf, "benchmark"), "item_id", "text", 4, 64)
 
 
+def deflate_distance_codes(spark, sf):
+    matches = Y.repeated_grams(table(spark, sf, "benchmark"), "item_id", "text", 4, 32768)
+    return Y.deflate_symbols(matches, ["item_id"], "distance")
+
+
 def format_sniff(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), utf8("text").alias("data"))
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind"), utf8("html").alias("data"))
@@ -79,6 +84,12 @@ SQL = {
         d AS (SELECT item_id, a, a - lag(a) OVER (PARTITION BY item_id, g ORDER BY a) AS d FROM g)
         SELECT item_id, CAST(a AS BIGINT) AS "at", CAST(d AS BIGINT) AS distance FROM d WHERE d <= 64
     """,
+    "deflate_distance_codes": """
+        WITH g AS (SELECT item_id, p + 1 AS a, substring(text, CAST(p + 1 AS BIGINT), 4) AS g FROM (SELECT item_id, text, unnest(range(greatest(0, length(text) - 3))) AS p FROM benchmark)),
+        d AS (SELECT item_id, a - lag(a) OVER (PARTITION BY item_id, g ORDER BY a) - 1 AS d FROM g),
+        c AS (SELECT item_id, CASE WHEN d < 4 THEN 0 ELSE CAST(floor(log2(d)) AS INT) - 1 END AS extra, d FROM d WHERE d < 32768)
+        SELECT item_id, CAST(CASE WHEN d < 4 THEN d ELSE 2 * extra + (d >> extra) END AS INT) AS code, CAST(extra AS INT) AS extra, count(*) AS n FROM c GROUP BY 1, 2, 3
+    """,
     "format_sniff": """
         WITH b AS (SELECT doc_id AS id, 'document' AS kind, text AS t FROM documents UNION ALL SELECT page_id, 'page', html FROM pages)
         SELECT id, kind, CASE WHEN starts_with(t, '<!DOCTYPE') THEN 'html' WHEN starts_with(t, 'BM') THEN 'bmp' WHEN starts_with(t, 'GIF89a') OR starts_with(t, 'GIF87a') THEN 'gif'

@@ -124,16 +124,22 @@ def floor_residue(spark, sf):
 
 
 def interleave_channels(spark, sf):
-    made = numbered(spark, sf).where("user_id < 4").select("i", "user_id", "x")
-    whole = made.groupBy("i").agg(*(F.max(F.when(F.col("user_id") == c, F.col("x"))).alias(f"c{c}") for c in range(4))).where(" AND ".join(f"c{c} IS NOT NULL" for c in range(4)))
+    """Four channels a file: track 4 f + c is channel c of file f; what a channel lacks at a place is silence."""
+    made = numbered(spark, sf).select(F.floor(F.col("user_id") / 4).cast("long").alias("file"), F.pmod("user_id", F.lit(4)).alias("c"), "i", "x")
+    whole = made.groupBy("file", "i").agg(*(F.coalesce(F.max(F.when(F.col("c") == c, F.col("x"))), F.lit(0)).alias(f"c{c}") for c in range(4)))
     each = F.posexplode(F.array(*(f"c{c}" for c in range(4)))).alias("c", "v")
-    return whole.select("i", each).select((F.col("i") * 4 + F.col("c")).cast("long").alias("at"), "v")
+    return whole.select("file", "i", each).select("file", (F.col("i") * 4 + F.col("c")).cast("long").alias("at"), "v")
 
 
 def widen_16(spark, sf):
     return bytes_of(pix(spark, sf)).select("vec_id", "i", (F.col("v") * 257).alias("v"))
 
 
+def crf_qindex(spark, sf):
+    made = table(spark, sf, "orders").withColumn("crf", F.pmod("o_orderkey", F.lit(64)))
+    return made.select("o_orderkey", S.qindex_of_crf(F.col("crf")).alias("qindex"))
+
+
 def video_times(spark, sf):
     made = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
     return G.sample_times(made, "k", 30000 * 4, 30000, 1001)
@@ -246,9 +252,13 @@ SQL = {
     "windowed_product": f"SELECT event_id, x * ((i % 16) * (15 - i % 16) + 1) AS v FROM {NUM}",
     "floor_residue": f"SELECT a.vec_id, a.i, abs(a.v) * b.v AS v FROM {PIX} a JOIN {PIX} b ON b.vec_id + 1 = a.vec_id AND a.i = b.i",
     "interleave_channels": f"""
-        WITH c AS (SELECT i, user_id, x, count(*) OVER (PARTITION BY i) AS n FROM {NUM} WHERE user_id < 4 AND user_id >= 0) SELECT i * 4 + user_id AS "at", x AS v FROM c WHERE n = 4
+        WITH g AS (SELECT DISTINCT CAST(floor(user_id / 4.0) AS BIGINT) AS file, i FROM {NUM})
+        SELECT g.file, CAST(g.i * 4 + c AS BIGINT) AS "at", coalesce(n.x, 0) AS v FROM g CROSS JOIN range(4) r(c) LEFT JOIN {NUM} n ON n.user_id = g.file * 4 + c AND n.i = g.i
     """,
     "widen_16": f"SELECT vec_id, i, v * 257 AS v FROM {P8}",
+    "crf_qindex": """
+        SELECT o_orderkey, CAST(CASE o_orderkey % 64 WHEN 63 THEN 255 WHEN 62 THEN 249 WHEN 0 THEN 1 ELSE 4 * (o_orderkey % 64) END AS INT) AS qindex FROM orders
+    """,
     "video_times": "SELECT o_orderkey AS k, o_orderkey * 4 * 1001 AS dts, CAST(4004 AS BIGINT) AS duration FROM orders",
     "dc_reject": f"""
         SELECT user_id, i AS n, round((SELECT sum((b.x - b.p) * pow(0.5, a.i - b.i)) FROM (SELECT *, coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY i), 0) AS p FROM {NUM}) b

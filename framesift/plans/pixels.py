@@ -18,6 +18,12 @@ def pix(spark, sf):
     return X.from_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding", 8)
 
 
+def parts_of(spark, sf, size):
+    """vec_id, block, part: every `size` elements of a vector, in order."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / size).cast("int") - 1), lambda b: F.slice("embedding", b * size + 1, F.lit(size)))
+    return table(spark, sf, "embeddings").where(F.size("embedding") >= size).select("vec_id", F.posexplode(cut).alias("block", "part"))
+
+
 def bytes_of(pixels):
     return pixels.withColumn("v", F.pmod("v", F.lit(256)))
 
@@ -33,8 +39,9 @@ def exact_palette(spark, sf):
 
 
 def nearest_palette(spark, sf):
-    point = F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double") * 100).cast("long"))
-    return X.nearest_color(table(spark, sf, "embeddings").withColumn("point", point), "vec_id", "point", PALETTE)
+    """Every four elements of a vector are a point."""
+    point = F.transform("part", lambda x: F.round(x.cast("double") * 100).cast("long"))
+    return X.nearest_color(parts_of(spark, sf, 4).withColumn("point", point), ["vec_id", "block"], "point", PALETTE)
 
 
 def downsample_2x2(spark, sf):
@@ -129,9 +136,9 @@ def haar_wht4(spark, sf):
 
 
 def dct_basis_join(spark, sf):
-    made = table(spark, sf, "embeddings").withColumn("head", F.slice("embedding", 1, 8))
-    out = T.basis_transform(made, "vec_id", "head", T.cosine_basis(8))
-    return out.select("vec_id", "k", (F.round("coef", 4) + 0.0).alias("coef"))
+    """Every eight elements of a vector are a block."""
+    out = T.basis_transform(parts_of(spark, sf, 8), ["vec_id", "block"], "part", T.cosine_basis(8))
+    return out.select("vec_id", "block", "k", (F.round("coef", 4) + 0.0).alias("coef"))
 
 
 def quantize_deadzone(spark, sf):
@@ -177,9 +184,10 @@ SQL = {
         SELECT CAST(row_number() OVER (ORDER BY color) - 1 AS INT) AS rank, color FROM d QUALIFY count(*) OVER () <= 256
     """,
     "nearest_palette": f"""
-        WITH p AS (SELECT vec_id, {", ".join(f"CAST(round(CAST(embedding[{k + 1}] AS DOUBLE) * 100) AS BIGINT) AS c{k}" for k in range(4))} FROM embeddings),
-        d AS (SELECT vec_id, e, {" + ".join(f"(c{k} - p{k}) * (c{k} - p{k})" for k in range(4))} AS d FROM p, (VALUES {PAL}) t(e, p0, p1, p2, p3))
-        SELECT vec_id, CAST(e AS INT) AS entry, CAST(d AS BIGINT) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, e) = 1
+        WITH b AS (SELECT vec_id, embedding, CAST(unnest(range(len(embedding) // 4)) AS INT) AS block FROM embeddings),
+        p AS (SELECT vec_id, block, {", ".join(f"CAST(round(CAST(embedding[block * 4 + {k + 1}] AS DOUBLE) * 100) AS BIGINT) AS c{k}" for k in range(4))} FROM b),
+        d AS (SELECT vec_id, block, e, {" + ".join(f"(c{k} - p{k}) * (c{k} - p{k})" for k in range(4))} AS d FROM p, (VALUES {PAL}) t(e, p0, p1, p2, p3))
+        SELECT vec_id, block, CAST(e AS INT) AS entry, CAST(d AS BIGINT) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id, block ORDER BY d, e) = 1
     """,
     "downsample_2x2": f"SELECT vec_id, x >> 1 AS x, y >> 1 AS y, CAST((sum(v) + 2) >> 2 AS BIGINT) AS v FROM {PIX} GROUP BY vec_id, x >> 1, y >> 1",
     "png_filter_pick": f"""
@@ -241,9 +249,10 @@ SQL = {
         SELECT vec_id, g, v0 + v1 + v2 + v3 AS w0, v0 - v1 + v2 - v3 AS w1, v0 + v1 - v2 - v3 AS w2, v0 - v1 - v2 + v3 AS w3 FROM g
     """,
     "dct_basis_join": """
-        WITH e AS (SELECT vec_id, unnest(range(8)) AS i, CAST(unnest(embedding[1:8]) AS DOUBLE) AS x FROM embeddings)
-        SELECT vec_id, CAST(k AS INT) AS k, round(sum(x * sqrt((CASE WHEN k = 0 THEN 1 ELSE 2 END) / 8.0::DOUBLE) * cos(pi() * (2 * i + 1) * k / 16)), 4) + 0.0::DOUBLE AS coef
-        FROM e, range(8) r(k) GROUP BY vec_id, k
+        WITH u AS (SELECT vec_id, unnest(range(len(embedding) // 8 * 8)) AS p, CAST(unnest(embedding[1:len(embedding) // 8 * 8]) AS DOUBLE) AS x FROM embeddings),
+        e AS (SELECT vec_id, CAST(p // 8 AS INT) AS block, p % 8 AS i, x FROM u)
+        SELECT vec_id, block, CAST(k AS INT) AS k, round(sum(x * sqrt((CASE WHEN k = 0 THEN 1 ELSE 2 END) / 8.0::DOUBLE) * cos(pi() * (2 * i + 1) * k / 16)), 4) + 0.0::DOUBLE AS coef
+        FROM e, range(8) r(k) GROUP BY vec_id, block, k
     """,
     "quantize_deadzone": f"SELECT vec_id, i, {DZ.format(6, 9)} AS q, {DZ.format(6, 9)} * (CASE WHEN i = 0 THEN 6 ELSE 9 END) AS r FROM {PIX}",
     "zero_run_tokens": f"""

@@ -10,9 +10,11 @@ from framesift.streaming import packets as P
 
 
 def _folder(spark) -> str:
-    """The session's shared folder; a temporary one only where none is set."""
+    """The session's shared folder; a temporary one only where none is set and all runs on one machine."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="framesift-stream-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there
@@ -39,8 +41,9 @@ def stream_interleave(spark, sf):
 
 
 def stream_dedup(spark, sf):
-    events = P.read_events(spark, f"{sf}/events.parquet")
-    return P.drained(P.distinct_packets(events), spark, _folder(spark)).select("event_id", "user_id", "x")
+    """The stream brings every packet twice."""
+    twice = P.read_events(spark, f"{sf}/events.parquet").unionByName(P.read_events(spark, f"{sf}/events.parquet"))
+    return P.drained(P.distinct_packets(twice), spark, _folder(spark)).select("event_id", "user_id", "x")
 
 
 HOUR = "epoch_us(ts) // 3600000000 * 3600"
