@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.byte_bpe import count_tokens
+from framesift.llm.byte_bpe import counts
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: a sequence costs its length, this much besides, and a share that grows with the square of its length
@@ -152,11 +152,14 @@ def pack_documents(
     lengths = tuple(sorted(set(lengths)))
     row = F.col(id_col).cast("long").alias("doc_id")
     if size_col is None:
-        sized = count_tokens(docs, rank_file, pattern, id_col, text_col)
+        # counted and numbered in one step, so that a task has one Python worker
+        count = counts(rank_file, pattern)
+        sized, work = docs.select(row, F.col(text_col).cast("string").alias("text")), lambda it: _spread(count(it))
     else:
         sized = docs.select(row, F.greatest(F.lit(0), F.coalesce(F.col(size_col).cast("long"), F.lit(0))).alias("n"))
+        work = _spread
     groups = max(1, -(-docs.count() // group_rows))
-    dealt = sized.mapInArrow(_spread, "doc_id long, n long, again long")
+    dealt = sized.mapInArrow(work, "doc_id long, n long, again long")
     dealt = dealt.select("doc_id", "n", F.pmod(F.xxhash64("doc_id", "n", "again"), F.lit(groups)).alias("part"))
     schema = "doc_id long, piece long, start long, n_tokens long, bin_group long, bin long, bin_offset long, bin_used long, bin_length long"
     return dealt.groupBy("part").applyInArrow(_pack_group(lengths), schema)

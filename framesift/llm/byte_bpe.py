@@ -98,13 +98,15 @@ def _counted(enc, rows: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     return pa.record_batch({"doc_id": rows, "n": pa.array([len(encode(enc, t or "")) for t in texts.to_pylist()], pa.int64())})
 
 
-def count_tokens(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n: the number of tokens of every whole text, 0 for null, by the ranks and pattern of PUBLIC_RANKS unless given."""
+def counts(ranks: str | None = None, pattern: str | None = None) -> Callable:
+    """A function from batches of doc_id and text to batches of doc_id and n, the number of tokens of the whole text.
+
+    Ranks and pattern are those of PUBLIC_RANKS unless given; a null text has no tokens.
+    """
     import public_tokenizers
 
     ranks, pattern = ranks or public_tokenizers.path(PUBLIC_RANKS), pattern or public_tokenizers.PATTERN
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _over(it, ranks, pattern, _counted), "doc_id long, n long")
+    return lambda it: _over(it, ranks, pattern, _counted)
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -54,6 +54,8 @@ def deal(docs: DataFrame, chunks: int, id_col: str, text_col: str, others: bool
 
 def unpack(table: pa.Table) -> pa.Table:
     """The rows of a chunk in order of row and text."""
+    # what the chunk before has left goes back to the system
+    pa.default_memory_pool().release_unused()
     parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for c in table.column("packed").chunks for x in c]
     rows = pa.concat_tables(parts).combine_chunks()
     return rows.take(pc.sort_indices(rows.select(["row", "text"]), [("row", "ascending"), ("text", "ascending")])).combine_chunks()

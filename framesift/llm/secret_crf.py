@@ -28,6 +28,8 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "field")
 NAMES = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 
+#: bytes of text looked at in one step: a task needs about 100 bytes for each
+STEP = 1 << 18
 O, B, I = range(3)  # noqa: E741
 KEYWORDS = (
     "password passwd pwd pass secret token key apikey api_key access_key auth authorization bearer credential credentials private login"
@@ -310,7 +312,7 @@ def ordered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 def field_spans(raw: np.ndarray, offsets: np.ndarray, field: Field) -> list[list[tuple[int, int]]]:
     """Per text of the buffer the field's spans in code points, in order."""
     found: list[list] = []
-    for a, b in steps(offsets):
+    for a, b in steps(offsets, STEP):
         part = raw[offsets[a] : offsets[b]]
         local = offsets[a : b + 1] - offsets[a]
         start, end, of, line, codes = tokens(part, local)
