@@ -34,41 +34,50 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+NO_ITEMS = "cast(array() AS array<bigint>)"
+
+
 def signature_sql(text: str, k: int = K, take: int = L, m: int = M, circles: int = CIRCLES) -> str:
     """SQL of the signature of a text column: an array of m longs below 2**32, empty for a text without words."""
     turns = m // circles
-    words = f"filter(split({text}, '{SPACE}'), w -> w <> '')"
+    words = f"array_remove(split({text}, '{SPACE}'), '')"
     kmer = ", ".join(f"ws[i + {d}]" for d in range(k))
     hashes = (
-        f"CASE WHEN size(ws) < {k} THEN array(xxhash64(array_join(ws, ' '))) "
+        f"CASE WHEN size(ws) = 0 THEN {NO_ITEMS} WHEN size(ws) < {k} THEN array(xxhash64(array_join(ws, ' '))) "
         f"ELSE transform(sequence(0, size(ws) - {k}), i -> xxhash64({kmer})) END"
     )
     # top of the hash and place of every item; where hashes repeat, those after the first are hashed with their number
     top = f"shiftleft(shiftright(%s, {PLACE}), {PLACE}) | cast(%s AS bigint)"
     packed = f"sort_array(transform(hs, (h, i) -> {top % ('h', 'i')}))"
-    alike = f"exists(sequence(1, greatest(size(ps) - 1, 1)), i -> shiftright(get(ps, i), {PLACE}) = shiftright(ps[i - 1], {PLACE}))"
+    # only neighbours with one top can repeat a hash
+    same_top = " OR ".join(f"shiftright(x, {PLACE}) = shiftright(get(ps, i {d} 1), {PLACE})" for d in "-+")
+    alike = f"CASE WHEN size(array_distinct(hs)) < size(hs) THEN filter(ps, (x, i) -> {same_top}) ELSE {NO_ITEMS} END"
+    place = f"cast(x & {MASK}L AS int)"
     runs = "filter(sequence(0, size(ss) - 1), i -> i = 0 OR ss[i].h <> ss[greatest(i - 1, 0)].h)"
     numbered = (
         "flatten(transform(rs, (a, r) -> transform("
         "slice(ss, a + 1, (CASE WHEN r + 1 < size(rs) THEN rs[r + 1] ELSE size(ss) END) - a), "
         f"(x, c) -> {top % ('CASE WHEN c = 0 THEN x.h ELSE xxhash64(x.h, c) END', 'x.p')})))"
     )
-    repeated = let("sort_array(transform(hs, (h, i) -> struct(h AS h, i AS p)))", "ss", let(runs, "rs", f"sort_array({numbered})"))
-    items = let(packed, "ps", f"CASE WHEN {alike} THEN {repeated} ELSE ps END")
-    turned_items = f"sort_array(transform(ts, x -> {top % (f'xxhash64(shiftright(x, {PLACE}), q)', f'(x & {MASK}L)')}))"
-    circle = f"CASE WHEN q = 0 THEN ts ELSE {turned_items} END"
-    bits = (turns - 1).bit_length()
-    bin_of = f"cast(shiftright(%s, {64 - bits}) + {turns // 2} AS int)" if bits else "0"
-    bin_at = lambda x: bin_of % x if bits else bin_of
-    starts = f"filter(sequence(0, size(us) - 1), i -> i = 0 OR {bin_at('us[i]')} <> {bin_at('us[greatest(i - 1, 0)]')})"
-    bins = f"transform(fs, i -> {bin_at('us[i]')})"
-    start = "CASE WHEN array_position(gs, j) > 0 THEN fs[cast(array_position(gs, j) AS int) - 1] ELSE coalesce(get(filter(fs, (i, g) -> gs[g] > j), 0), 0) END"
-    places = f"sort_array(transform(sequence(0, least({take}, size(us)) - 1), d -> us[(a + d) % size(us)] & {MASK}L))"
-    entry = f"xxhash64(transform({places}, p -> hs[cast(p AS int)])) & 4294967295L"
-    turned = f"transform(sequence(0, {turns - 1}), j -> {let(start, 'a', entry)})"
-    signature = f"flatten(transform(sequence(0, {circles - 1}), q -> {let(circle, 'us', let(starts, 'fs', let(bins, 'gs', turned)))}))"
-    whole = let(hashes, "hs", let(items, "ts", signature))
-    return let(words, "ws", f"CASE WHEN size(ws) = 0 THEN cast(array() AS array<bigint>) ELSE {whole} END")
+    repeated = let(f"sort_array(transform(ds, x -> struct(hs[{place}] AS h, {place} AS p)))", "ss", let(runs, "rs", numbered))
+    items = f"CASE WHEN size(ds) = 0 THEN ps ELSE sort_array(concat(array_except(ps, ds), {repeated})) END"
+    turned_items = f"sort_array(transform(ts, x -> {top % (f'xxhash64(shiftright(x, {PLACE}), %d)', f'(x & {MASK}L)')}))"
+    circle = [("ts" if q == 0 else f"us{q}", turned_items % q if q else items) for q in range(circles)]
+    halves = f"filter(array({', '.join(str(1 << i) for i in range(PLACE, -1, -1))}), n -> n <= size(ts))"
+    # the first item at or after the start of each turn, found by halving; past the end the circle begins again
+    least = (1 << 64) // turns
+    start = "aggregate(ns, 0, (a, n) -> CASE WHEN get(%s, a + n - 1) < b THEN a + n ELSE a END)"
+    bounds = f"array({', '.join('-9223372036854775807L - 1L' if j == 0 else f'{j * least - (1 << 63)}L' for j in range(turns))})"
+    places = f"sort_array(transform(sequence(0, least({take}, size(%s)) - 1), d -> %s[(a + d) % size(%s)] & {MASK}L))"
+    signed = []
+    for name, _ in circle:
+        there = places.replace("% size", "%% size") % (name, name, name)
+        entry = f"xxhash64(transform({there}, p -> hs[cast(p AS int)])) & 4294967295L"
+        signed.append(f"transform({bounds}, b -> {let(start % name, 'a', entry)})")
+    whole = f"CASE WHEN size(hs) = 0 THEN {NO_ITEMS} ELSE concat({', '.join(signed)}) END"
+    for name, step in reversed([("ws", words), ("hs", hashes), ("ps", packed), ("ds", alike), *circle[:1], ("ns", halves), *circle[1:]]):
+        whole = let(step, name, whole)
+    return whole
 
 
 def likeness(a: str, b: str) -> Column:
