@@ -99,6 +99,50 @@ def columns_of(blobs: list[bytes], widths: dict[str, tuple]) -> tuple[dict[str,
     return out, np.array([p.shape[1] for p in parts], np.int64)
 
 
+def records(columns: dict[str, np.ndarray], widths: dict[str, tuple]) -> np.ndarray:
+    """Columns of numbers as rows of bytes."""
+    n = len(next(iter(columns.values())))
+    out, at = np.empty((n, sum(w for _, w in widths.values())), np.uint8), 0
+    for name, (dtype, width) in widths.items():
+        raw = np.ascontiguousarray(columns[name], dtype).view(np.uint8).reshape(n, np.dtype(dtype).itemsize)
+        out[:, at : at + width] = raw[:, :width]
+        at += width
+    return out
+
+
+def blobs(rows: np.ndarray, ends: np.ndarray) -> pa.Array | pa.ChunkedArray:
+    """Binary values, one for each end, of the rows before it; together they are one buffer that nothing walks."""
+    size = rows.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
+    bounds = np.concatenate([[0], ends]) * size
+    data = pa.py_buffer(np.ascontiguousarray(rows))
+    if bounds[-1] >= 1 << 31:
+        return pa.chunked_array([pa.array([data[a:b].to_pybytes()], pa.binary()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)])
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(bounds.astype(np.int32)), data])
+
+
+def joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all blobs of a column without nulls, and the length of each."""
+    column = column.cast(pa.large_binary()).combine_chunks()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8), np.diff(at)
+
+
+def fields(column: pa.ChunkedArray, widths: dict[str, tuple]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The columns of all blobs of records, and the number of rows of each blob."""
+    raw, sizes = joined(column)
+    wide = sum(w for _, w in widths.values())
+    rows, out, at = raw.reshape(-1, wide), {}, 0
+    for name, (dtype, width) in widths.items():
+        whole = np.zeros((len(rows), np.dtype(dtype).itemsize), np.uint8)
+        whole[:, :width] = rows[:, at : at + width]
+        out[name] = whole.view(dtype).ravel()
+        at += width
+    return out, sizes // wide
+
+
 def split_by(part: np.ndarray, *columns: np.ndarray) -> list[tuple]:
     """(part, column slices) in order of part, each slice in its old order."""
     if not len(part):

@@ -27,7 +27,6 @@ that takes the lines out.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -38,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framesift.llm.chunks import CHUNK_BYTES, columns_of, cut, deal, split_by, unpack
-from framesift.llm.common import U64, mix, steps, text_bytes, total_bytes
+from framesift.llm.chunks import CHUNK_BYTES, blobs, columns_of, cut, deal, fields, joined, records, unpack
+from framesift.llm.common import U64, mix, steps, text_bytes
 
 THRESHOLD = Fraction(4, 5)
 LEAST_WORDS = 1
@@ -102,33 +101,49 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start, hashes
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return pa.compress(pa.py_buffer(counts), "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, dtype: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, SLOTS * np.dtype(dtype).itemsize, "zstd"), dtype)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SLOTS, np.int64)
+    total, size = np.zeros(SLOTS, np.int64), 0
+    slots, held = [np.zeros(0, np.int32)], 0
     for batch in batches:
         raw, offsets = text_bytes(batch.column(0))
-        slots = [np.zeros(0, np.int32)]
+        size += len(raw)
         for a, b in steps(offsets, STEP):
             _, found = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             slots.append((found & U64(SLOTS - 1)).astype(np.int32))
-        total += np.bincount(np.concatenate(slots), minlength=SLOTS)
-    yield pa.record_batch({"n": pa.array([zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)], pa.binary())})
+            held += len(found)
+            if held > SLOTS:
+                total += np.bincount(np.concatenate(slots), minlength=SLOTS)
+                slots, held = [np.zeros(0, np.int32)], 0
+    total += np.bincount(np.concatenate(slots), minlength=SLOTS)
+    yield pa.record_batch({"n": pa.array([_packed(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))], pa.binary()), "size": pa.array([size], pa.int64())})
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SLOTS, np.int64)
+    total, size = np.zeros(SLOTS, np.int64), 0
     for batch in batches:
+        size += sum(batch.column(1).to_pylist())
         for blob in batch.column(0):
-            total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
-    yield pa.record_batch({"n": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+            total += _unpacked(blob.as_buffer(), np.uint32)
+    yield pa.record_batch({"n": pa.array([_packed(total)], pa.binary()), "size": pa.array([size], pa.int64())})
 
 
-def word_ranks(docs: DataFrame, text_col: str) -> np.ndarray:
-    """A class of frequency for each slot, 0 to 511; the table's size is fixed."""
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(_count, "n binary").repartition(8).mapInArrow(_add, "n binary")
-    total = np.zeros(SLOTS, np.int64)
+def word_ranks(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
+    """A class of frequency for each slot, 0 to 511, in a table of fixed size; and the bytes of all texts."""
+    schema = "n binary, size long"
+    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(_count, schema).repartition(8).mapInArrow(_add, schema)
+    total, size = np.zeros(SLOTS, np.int64), 0
     for row in parts.collect():
-        total += np.frombuffer(zlib.decompress(row.n), np.int64)
-    return np.minimum(511, ONCE * np.log2(total + 1)).astype(np.uint16)
+        total += _unpacked(row.n, np.int64)
+        size += row.size
+    return np.minimum(511, ONCE * np.log2(total + 1)).astype(np.uint16), size
 
 
 class Lines:
@@ -139,10 +154,13 @@ class Lines:
         rows = self.table.column("row").to_numpy()
         self.raw, self.offsets = text_bytes(self.table.column("text"))
         newline = np.flatnonzero(self.raw == 10)
-        doc = np.concatenate([np.arange(len(rows)), np.searchsorted(self.offsets, newline, "right") - 1])
-        start = np.concatenate([self.offsets[:-1], newline + 1])
-        by = np.lexsort((start, doc))
-        self.doc, self.start = doc[by], start[by]
+        # each line but a document's first follows a line feed
+        before = np.searchsorted(newline, self.offsets)
+        self.doc = np.repeat(np.arange(len(rows)), np.diff(before) + 1)
+        first = before[:-1] + np.arange(len(rows))
+        self.start = np.empty(len(self.doc), np.int64)
+        self.start[first] = self.offsets[:-1]
+        self.start[np.delete(np.arange(len(self.doc)), first)] = newline + 1
         self.end = self.offsets[self.doc + 1].copy()
         same = np.flatnonzero(self.doc[1:] == self.doc[:-1])
         self.end[same] = self.start[same + 1] - 1
@@ -231,12 +249,14 @@ def _reduce(f, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 #: columns of the sketch; those that only long sets fill compress to nothing elsewhere
 SKETCH = ("sketch", *(f"sketch{k}" for k in range(1, 8)))
 LONG = (48, 190, 400)
-ENTRY = {"word": (np.uint64, 5), "size": (np.uint32, 4), "at": (np.uint32, 4), **dict.fromkeys(SKETCH, (np.uint64, 8)), "check": (np.uint32, 4), "row": (np.int64, 8), "line": (np.uint32, 4)}
-ENTRY_SCHEMA = "part long not null, chunk long, entries binary"
+#: what an entry is in a chunk of usual texts, and in any other
+ENTRY = {"word": (np.uint32, 4), "size": (np.uint32, 2), "at": (np.uint32, 1), "check": (np.uint32, 4), "sketch": (np.uint64, 8), "row": (np.int64, 4), "line": (np.uint32, 2)}
+WIDE_ENTRY = {k: (dtype, np.dtype(dtype).itemsize) for k, (dtype, _) in ENTRY.items()}
+ENTRY_SCHEMA = "part long not null, chunk long, wide boolean, entries binary, sketches binary"
 
 
-def _entries(lines: Lines, which: np.ndarray, ranks: np.ndarray, parts: int, least: int, once: bool) -> tuple[list[tuple[int, bytes]], np.ndarray]:
-    """Prefix entries of the given lines by part; if `once`, of equal sets only the first's, and the other lines' places."""
+def _entries(lines: Lines, which: np.ndarray, ranks: np.ndarray, parts: int, least: int, once: bool) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """Part and columns of the prefix entries of the given lines; if `once`, of equal sets only the first's, and the other lines' places."""
     found, offsets, long = lines.sets(which, ranks)
     size = np.diff(offsets)
     total, sketch = set_sums(found, offsets)
@@ -257,14 +277,40 @@ def _entries(lines: Lines, which: np.ndarray, ranks: np.ndarray, parts: int, lea
     # sets of so few tokens are similar to equal ones only
     whole = (needed(size) == size) & (needed(size + 1) > size)
     word = mix(np.where(whole[of], total[of], word))
-    columns = {"word": word >> U64(24), "size": size[of], "at": at, **{k: v[of] for k, v in zip(SKETCH, sketch, strict=True)}, "check": (total >> U64(32)).astype(np.uint32)[of], "row": lines.row[which][of], "line": lines.line[which][of]}
-    rows = cut((word % U64(parts)).astype(np.int64), columns, ENTRY)
-    return rows, repeats
+    columns = {"word": word >> U64(32), "size": size[of], "at": at, "check": (total >> U64(32)).astype(np.uint32)[of], "row": lines.row[which][of], "line": lines.line[which][of]}
+    return (word % U64(parts)).astype(np.int64), columns | {k: v[of] for k, v in zip(SKETCH, sketch, strict=True)}, repeats
+
 
+def _narrow(columns: dict[str, np.ndarray]) -> bool:
+    """Whether the narrow record holds all values."""
+    return all(not len(columns[k]) or (columns[k].min() >= 0 and columns[k].max() < 1 << 8 * ENTRY[k][1]) for k in ("size", "at", "row", "line"))
 
-def _entry_table(rows: list[tuple[int, bytes]], chunk: int) -> pa.Table:
+
+def _levels(size: np.ndarray) -> np.ndarray:
+    """Of a set of each size, the number of times its sketch has doubled."""
+    return np.searchsorted(LONG, size, "left")
+
+
+def _entry_table(part: np.ndarray, columns: dict[str, np.ndarray], chunk: int) -> pa.Table:
+    """A row a part: records, and the further columns of the sketches that have any, entry by entry."""
+    by = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    part = part[by]
+    ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1 if len(part) else np.zeros(0, np.int64)
+    wide = not _narrow(columns)
+    level = _levels(columns["size"])[by]
+    after = np.cumsum((1 << level) - 1)
+    sketches = np.empty(after[-1] if len(by) else 0, np.uint64)
+    for k in range(1, len(SKETCH)):
+        some = np.flatnonzero(level >= k.bit_length())
+        sketches[after[some] - (1 << level[some]) + k] = columns[SKETCH[k]][by[some]]
     return pa.table(
-        {"part": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([chunk] * len(rows), pa.int64()), "entries": pa.array([r[1] for r in rows], pa.binary())}
+        {
+            "part": pa.array(part[ends - 1], pa.int64()),
+            "chunk": pa.array(np.full(len(ends), chunk), pa.int64()),
+            "wide": pa.array(np.full(len(ends), wide), pa.bool_()),
+            "entries": blobs(records(columns, WIDE_ENTRY if wide else ENTRY).take(by, 0), ends),
+            "sketches": blobs(sketches, after[ends - 1]),
+        }
     )
 
 
@@ -272,20 +318,52 @@ def _send(ranks, parts: int, least: int):
     def send(table: pa.Table) -> pa.Table:
         lines = Lines(table)
         chunk = table.column("chunk")[0].as_py()
-        rows, repeats = _entries(lines, np.arange(len(lines.row)), ranks.value, parts, least, True)
+        part, columns, repeats = _entries(lines, np.arange(len(lines.row)), ranks.value, parts, least, True)
         if len(repeats):
             # a part of its own brings the repeats of a chunk back to it
             none = np.zeros(len(repeats), np.int64)
-            columns = dict.fromkeys(ENTRY, none) | {"row": lines.row[repeats], "line": lines.line[repeats]}
-            rows += cut(none + parts + chunk, columns, ENTRY)
-        return _entry_table(rows, chunk)
+            known = dict.fromkeys(columns, none.astype(U64)) | {"size": none, "row": lines.row[repeats], "line": lines.line[repeats]}
+            part, columns = np.append(part, none + parts + chunk), {k: np.append(v, known[k].astype(v.dtype)) for k, v in columns.items()}
+        return _entry_table(part, columns, chunk)
 
     return send
 
 
 def _read_entries(table: pa.Table) -> dict[str, np.ndarray]:
-    out, n = columns_of(table.column("entries").to_pylist(), ENTRY)
-    return out | {"chunk": np.repeat(table.column("chunk").to_numpy(), n)}
+    """The entries of all rows; columns of the sketch that no set fills are one array of zeros."""
+    read = []
+    for wide in (False, True):
+        some = table.filter(pc.equal(table.column("wide"), wide))
+        if wide and read[0]["word"].size and not some.num_rows:
+            break
+        e, n = fields(some.column("entries"), WIDE_ENTRY if wide else ENTRY)
+        e["chunk"] = np.repeat(some.column("chunk").to_numpy(), n)
+        sketches = np.frombuffer(joined(some.column("sketches"))[0], np.uint64)
+        level = _levels(e["size"])
+        after, none = np.cumsum((1 << level) - 1), np.zeros(len(level), np.uint64)
+        for k in range(1, len(SKETCH)):
+            own = np.flatnonzero(level >= k.bit_length())
+            e[SKETCH[k]] = none
+            if len(own):
+                e[SKETCH[k]] = np.zeros(len(level), np.uint64)
+                e[SKETCH[k]][own] = sketches[after[own] - (1 << level[own]) + k]
+        read.append(e)
+    return read[0] if len(read) == 1 else {k: np.concatenate([r[k] for r in read]) for k in read[0]}
+
+
+def _in_order(e: dict[str, np.ndarray]) -> np.ndarray:
+    """Places of the entries in order of word, row and line."""
+    row = e["row"]
+    if not len(row) or row.min() < 0 or row.max() >> 32:
+        return np.lexsort((e["line"], row, e["word"]))
+    keys = (e["word"].astype(U64) << U64(32)) | row.astype(U64)
+    by = np.argsort(keys)
+    keys = keys[by]
+    same = np.append(False, keys[1:] == keys[:-1])
+    same = np.flatnonzero(same | np.append(same[1:], False))
+    # only words in several lines of one row are left to sort
+    by[same] = by[same][np.lexsort((e["line"][by[same]], keys[same]))]
+    return by
 
 
 def _may_match(e: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -323,13 +401,19 @@ MORE, SAME, KNOWN = 1, 2, 4
 
 def _firsts(e: dict) -> tuple[np.ndarray, np.ndarray]:
     """For entries in order of word, row and line: the first entry of the same word and set, and those that are it."""
-    by = np.lexsort((e["check"], e["size"], e["word"]))
-    fresh = np.ones(len(by), bool)
-    if len(by):
-        fresh[1:] = np.logical_or.reduce([e[k][by][1:] != e[k][by][:-1] for k in ("word", "size", "check")])
-    first = np.empty(len(by), np.int64)
-    first[by] = by[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-    return first, np.flatnonzero(first == np.arange(len(by)))
+    word, size, n = e["word"], e["size"], len(e["word"])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys = (np.cumsum(np.append(False, word[1:] != word[:-1])).astype(U64) << U64(32)) | e["check"].astype(U64)
+    by = np.argsort(keys)
+    keys = keys[by]
+    if (size[by][1:] != size[by][:-1])[keys[1:] == keys[:-1]].any():
+        by = np.lexsort((size, e["check"], word))
+        keys = np.cumsum(np.append(False, np.logical_or.reduce([e[k][by][1:] != e[k][by][:-1] for k in ("word", "check", "size")])))
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    first = np.empty(n, np.int64)
+    first[by] = np.repeat(np.minimum.reduceat(by, start), np.diff(np.append(start, n)))
+    return first, np.flatnonzero(first == np.arange(n))
 
 
 def _group_pairs(e: dict, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -373,6 +457,7 @@ def _group_pairs(e: dict, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 PAIR = {"row": (np.int64, 8), "line": (np.uint32, 4), "to_chunk": (np.int64, 4), "to_row": (np.int64, 8), "to_line": (np.uint32, 4), "flags": (np.uint8, 1)}
 PAIR_SCHEMA = "chunk long not null, pairs binary"
+PAIR_TABLE = pa.schema([("chunk", pa.int64()), ("pairs", pa.binary())])
 
 
 def _pair_table(e: dict, i: np.ndarray, j: np.ndarray, flags: np.ndarray) -> pa.Table:
@@ -393,8 +478,9 @@ def _pairs(most: int, parts: int):
         if table.column("part")[0].as_py() >= parts:
             own = np.arange(len(e["row"]))
             return _pair_table(e, own, own, np.full(len(own), KNOWN, np.uint8))
-        by = np.lexsort((e["line"], e["row"], e["word"]))
-        e = {k: v[by] for k, v in e.items()}
+        by = _in_order(e)
+        none = e[SKETCH[-1]]
+        e = {k: v if v is none and not none.any() else v[by] for k, v in e.items()}
         return _pair_table(e, *_group_pairs(e, most))
 
     return pairs
@@ -403,7 +489,7 @@ def _pairs(most: int, parts: int):
 def _all_pairs(open_entries: pa.Table, table: pa.Table) -> pa.Table:
     """Every earlier candidate of the lines that came back."""
     if not open_entries.num_rows:
-        table = table.slice(0, 0)
+        return PAIR_TABLE.empty_table()
     asked, e = _read_entries(open_entries), _read_entries(table)
     by = np.argsort(e["word"], kind="stable")
     e = {k: v[by] for k, v in e.items()}
@@ -425,33 +511,56 @@ LATER = {"row": (np.int64, 8), "line": (np.uint32, 4), "of": (np.uint32, 4), "fl
 SETS = {"sum": (np.uint64, 8), "size": (np.uint32, 4)}
 FETCH_SCHEMA = "chunk long not null, later binary, sets binary, words binary"
 PLACE = {"row": (np.int64, 8), "line": (np.uint32, 4)}
-TOLD_SCHEMA = "chunk long not null, gone binary, part long not null, entries binary"
+TOLD_SCHEMA = "chunk long not null, gone binary, part long not null, wide boolean, entries binary, sketches binary"
+TOLD = pa.schema([("chunk", pa.int64()), ("gone", pa.binary()), ("part", pa.int64()), ("wide", pa.bool_()), ("entries", pa.binary()), ("sketches", pa.binary())])
+
+
+def _different(columns: dict[str, np.ndarray]) -> np.ndarray:
+    """Places of different rows: equal ones are left out, unless other rows of the same hash lie between."""
+    hashes = np.zeros(len(next(iter(columns.values()))), U64)
+    for v in columns.values():
+        hashes = mix(hashes ^ v.astype(U64))
+    by = np.argsort(hashes)
+    fresh = np.append(True, np.logical_or.reduce([v[by][1:] != v[by][:-1] for v in columns.values()]))
+    return np.sort(by[fresh[: len(by)]])
 
 
 def _fetch(ranks):
     """Sends the sets of earlier lines to the chunks of the later ones; where SAME, only the sum and no members."""
 
     def fetch(table: pa.Table, asked: pa.Table) -> pa.Table:
-        rows = []
         if table.num_rows and asked.num_rows:
             lines = Lines(table)
             p, _ = columns_of(asked.column("pairs").to_pylist(), PAIR)
             where = lines.find(p["row"], p["line"].astype(np.int64))
+            fresh = _different({"where": where, **{k: p[k] for k in ("to_chunk", "to_row", "to_line", "flags")}})
+            p, where = {k: v[fresh] for k, v in p.items()}, where[fresh]
             which, of = np.unique(where, return_inverse=True)
             found, offsets, _ = lines.sets(which, ranks.value)
             total, _ = set_sums(found, offsets)
             # a line is sent with its members where any of a chunk's lines needs them
             of = of * 2 + (p["flags"] & (SAME | KNOWN) > 0)
-            for chunk, row, line, source, flags in split_by(p["to_chunk"], p["to_row"], p["to_line"], of, p["flags"]):
-                used, place = np.unique(source, return_inverse=True)
-                size = np.where(used % 2 == 0, np.diff(offsets)[used // 2], 0)
-                at = np.repeat(offsets[used // 2] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                whole = np.zeros(len(row), np.int64), np.zeros(len(used), np.int64)
-                later = cut(whole[0], {"row": row, "line": line, "of": place, "flags": flags}, LATER)
-                sets = cut(whole[1], {"sum": total[used // 2], "size": size}, SETS)
-                rows.append((chunk, later[0][1], sets[0][1], found[at].tobytes()))
-        names = ("chunk", "later", "sets", "words")
-        return pa.table({k: pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i, k in enumerate(names)})
+            by = np.lexsort((of, p["to_chunk"]))
+            p, of, to = {k: v[by] for k, v in p.items()}, of[by], p["to_chunk"][by]
+            begin = np.append(True, to[1:] != to[:-1])
+            new = begin | np.append(True, of[1:] != of[:-1])
+            place = np.cumsum(new) - 1
+            ends = np.append(np.flatnonzero(begin)[1:], len(to))
+            place_ends = place[ends - 1] + 1
+            used = of[new]
+            size = np.where(used % 2 == 0, np.diff(offsets)[used // 2], 0)
+            after = np.cumsum(size)
+            at = np.repeat(offsets[used // 2] - (after - size), size) + np.arange(size.sum())
+            place = place - np.repeat(place[begin], np.diff(np.append(0, ends)))
+            return pa.table(
+                {
+                    "chunk": pa.array(to[begin], pa.int64()),
+                    "later": blobs(records({"row": p["to_row"], "line": p["to_line"], "of": place, "flags": p["flags"]}, LATER), ends),
+                    "sets": blobs(records({"sum": total[used // 2], "size": size}, SETS), place_ends),
+                    "words": blobs(found[at], after[place_ends - 1]),
+                }
+            )
+        return pa.table({k: pa.array([], pa.binary() if k != "chunk" else pa.int64()) for k in ("chunk", "later", "sets", "words")})
 
     return fetch
 
@@ -459,9 +568,9 @@ def _fetch(ranks):
 def _verified(lines: Lines, sent: pa.Table, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each line whether an earlier match is verified, and whether it has candidates that it was not told."""
     done, again = np.zeros(len(lines.row), bool), np.zeros(len(lines.row), bool)
-    p, pairs_of = columns_of(sent.column("later").to_pylist(), LATER)
-    sets, sets_of = columns_of(sent.column("sets").to_pylist(), SETS)
-    members = np.frombuffer(b"".join(sent.column("words").to_pylist()), U64)
+    p, pairs_of = fields(sent.column("later"), LATER)
+    sets, sets_of = fields(sent.column("sets"), SETS)
+    members = np.frombuffer(joined(sent.column("words"))[0], U64)
     source = p["of"].astype(np.int64) + np.repeat(np.cumsum(sets_of) - sets_of, pairs_of)
     later = lines.find(p["row"], p["line"].astype(np.int64))
     open_pairs = np.flatnonzero(p["flags"] & KNOWN == 0)
@@ -504,22 +613,19 @@ def _verify(ranks, parts: int, least: int):
     """The lines of a chunk with a verified earlier match, as PLACE, and the entries of those that come back."""
 
     def verify(table: pa.Table, sent: pa.Table) -> pa.Table:
-        told, rows, chunk = [], [], 0
+        told = rows = None
         if table.num_rows and sent.num_rows:
             lines, chunk = Lines(table), table.column("chunk")[0].as_py()
             done, again = _verified(lines, sent, ranks.value)
             gone, left = np.flatnonzero(done), np.flatnonzero(again)
-            told = cut(np.zeros(len(gone), np.int64), {"row": lines.row[gone], "line": lines.line[gone]}, PLACE)
-            rows, _ = _entries(lines, left, ranks.value, parts, least, False)
-        none = [None] * len(rows)
-        return pa.table(
-            {
-                "chunk": pa.array([chunk] * (len(told) + len(rows)), pa.int64()),
-                "gone": pa.array([t[1] for t in told] + none, pa.binary()),
-                "part": pa.array([-1] * len(told) + [r[0] for r in rows], pa.int64()),
-                "entries": pa.array([None] * len(told) + [r[1] for r in rows], pa.binary()),
-            }
-        )
+            told = records({"row": lines.row[gone], "line": lines.line[gone]}, PLACE)
+            part, columns, _ = _entries(lines, left, ranks.value, parts, least, False)
+            rows = _entry_table(part, columns, chunk)
+        empty = TOLD.empty_table()
+        if told is None:
+            return empty
+        said = pa.table({"chunk": pa.array([chunk], pa.int64()), "gone": blobs(told, np.array([len(told)])), "part": pa.array([-1], pa.int64())})
+        return pa.concat_tables([empty, *([said] if len(told) else []), rows], promote_options="default").select(TOLD.names)
 
     return verify
 
@@ -534,7 +640,7 @@ def _finish(ranks):
         if sent.num_rows:
             gone, _ = _verified(lines, sent, ranks.value)
         if verdicts.num_rows:
-            p, _ = columns_of(verdicts.column("gone").drop_null().to_pylist(), PLACE)
+            p, _ = fields(verdicts.column("gone").drop_null(), PLACE)
             gone[lines.find(p["row"], p["line"].astype(np.int64))] = True
         n = len(lines.offsets) - 1
         total = np.bincount(lines.doc, minlength=n)
@@ -580,9 +686,9 @@ def line_dedup(
     table gives no rows.
     """
     docs = docs.drop(*(c for c in ("n_lines", "n_removed") if c not in (id_col, text_col)))
-    size = total_bytes(docs, text_col)
+    ranks, size = word_ranks(docs, text_col)
     chunks, parts = max(64, -(-size // chunk_bytes)), max(64, -(-size // RANGE_BYTES))
-    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text_col))
+    ranks = docs.sparkSession.sparkContext.broadcast(ranks)
     dealt = deal(docs, chunks, id_col, text_col, others=True)
     entries = dealt.groupBy("chunk").applyInArrow(_send(ranks, parts, least), ENTRY_SCHEMA)
 
@@ -592,7 +698,7 @@ def line_dedup(
     sent = fetched(dealt, entries.groupBy("part").applyInArrow(_pairs(first, parts), PAIR_SCHEMA))
     told = dealt.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(_verify(ranks, parts, least), TOLD_SCHEMA)
     told = told.repartition("chunk").mapInArrow(_as_is, TOLD_SCHEMA)
-    opened = told.where("entries IS NOT NULL").select("part", "chunk", "entries")
+    opened = told.where("entries IS NOT NULL").select("part", "chunk", "wide", "entries", "sketches")
     again = opened.groupBy("part").cogroup(entries.groupBy("part")).applyInArrow(_all_pairs, PAIR_SCHEMA)
     later = fetched(dealt, again).unionByName(told.where("gone IS NOT NULL").select("chunk", "gone"), allowMissingColumns=True)
     rest = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)

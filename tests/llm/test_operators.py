@@ -261,6 +261,58 @@ def test_op3_sketches_never_exceed_the_difference():
             assert far <= len(set(a.tolist()) ^ set(b.tolist())) and (far > 0) <= (set(a.tolist()) != set(b.tolist()))
 
 
+def test_op3_sends_little_and_once():
+    """An entry is a short record, and a pair that several parts name is fetched once."""
+    from framesift.llm import line_dedup as D
+    from framesift.llm.chunks import _pack
+
+    rng, rows = random.Random(6), []
+    for i in range(300):
+        words = [f"word{k}" for k in range(60)]
+        for k in rng.sample(range(60), 4):
+            words[k] = f"own{i % 250}x{k}"
+        rows.append((i, " ".join(words)))
+    batch = pa.record_batch({"chunk": pa.array([0] * len(rows)), "row": pa.array([r for r, _ in rows]), "text": pa.array([t for _, t in rows])})
+    table = pa.table({"chunk": pa.array([0]), "packed": next(_pack(iter([batch]))).column("packed")})
+    ranks = type("Ranks", (), {"value": np.full(D.SLOTS, 99, np.uint16)})
+    sent = D._send(ranks, 1, 1)(table)
+    entries = len({frozenset(t.split()) for _, t in rows}) * 13
+    assert sent.nbytes < 40 * entries
+    pairs = D._pairs(4, 1)(sent)
+    once = D._fetch(ranks)(table, pairs)
+    assert once.num_rows == 1 and D._fetch(ranks)(table, pa.concat_tables([pairs, pairs])).nbytes == once.nbytes
+
+
+def test_op3_wide_values(spark):
+    """Ids beyond 32 bits and below 0, sets of many words and lines far down go into wide records beside narrow ones."""
+    from framesift.llm import line_dedup as D
+
+    many = [f"m{i}" for i in range(2000)]
+    some = [f"s{i}" for i in range(230)]
+    rows = [(1, " ".join(some)), (2, "plain words of a line\nothers"), (1 << 40, "\n" * 66000 + "plain words of a line\nlast words"), (-7, "last words\n" + " ".join(many))]
+    rows += [((1 << 40) + 1, " ".join([*many[:-300], "x"])), (5, "\n".join(" ".join([*many[k:], *(f"y{k}x{i}" for i in range(k))]) for k in (150, 400, 420))), (6, " ".join([*some[:-20], "z"]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in D.line_dedup(table, chunk_bytes=3000).collect()}
+    assert got == lines_by_brute_force(rows)
+    assert got[1 << 40] == "\n" * 65999 and got[6] == ""
+
+
+def test_op3_order_and_first_entries():
+    """The fast sorts give what plain ones give, with equal keys, colliding checks and ids of all signs."""
+    from framesift.llm import line_dedup as D
+
+    rng = np.random.default_rng(9)
+    for low, high in ((0, 9), (0, 1 << 31), (-9, 9), (0, 1 << 40)):
+        e = {"word": rng.integers(0, 20, 3000).astype(np.uint32), "row": rng.integers(low, high, 3000), "line": rng.permutation(3000).astype(np.uint32)}
+        assert (D._in_order(e) == np.lexsort((e["line"], e["row"], e["word"]))).all()
+    for sizes in (1, 4):
+        e = {"word": np.sort(rng.integers(0, 40, 3000)).astype(np.uint32), "check": rng.integers(0, 9, 3000).astype(np.uint32), "size": rng.integers(0, sizes, 3000).astype(np.uint32)}
+        seen = {}
+        want = [seen.setdefault(k, i) for i, k in enumerate(zip(*(e[c].tolist() for c in ("word", "check", "size")), strict=True))]
+        first, kept = D._firsts(e)
+        assert first.tolist() == want and kept.tolist() == sorted(set(want))
+
+
 def test_op3_rows(odd, empty):
     from framesift.llm.line_dedup import line_dedup
 
