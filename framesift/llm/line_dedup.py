@@ -81,14 +81,12 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     inside[1:-1] = (raw != 32) & (raw - np.uint8(9) > 4)
     edge = inside[1:] != inside[:-1]
     edge[offsets] = True
-    cut = np.flatnonzero(edge)
-    keep = inside[cut[:-1] + 1]
-    start, end = cut[:-1][keep], cut[1:][keep]
+    start, end = np.flatnonzero(edge & inside[1:]), np.flatnonzero(edge & inside[:-1])
     low = np.zeros(len(raw) + 8, np.uint8)
     low[:-8] = raw | ((raw - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
     eight = np.ndarray(len(raw) + 1, "<u8", low, strides=(1,))
     size = end - start
-    hashes = mix((eight[start] & HEAD[np.minimum(size, 8)]) + size.astype(U64) * TERM)
+    hashes = mix((eight.take(start) & HEAD.take(np.minimum(size, 8))) + size.astype(U64) * TERM)
     long = np.flatnonzero(size > 8)
     for at in range(8, WIDE, 8):
         if not len(long):
@@ -190,9 +188,10 @@ class Lines:
             if len(start) > long[a:b].sum():
                 hashes = hashes[np.repeat(first - np.cumsum(long[a:b]) + long[a:b], long[a:b]) + np.arange(long[a:b].sum())]
             of = np.repeat(np.arange(b - a), long[a:b])
-            rarity = (ranks[(hashes & U64(SLOTS - 1)).astype(np.int32)].astype(U64) << U64(36)) | (hashes >> U64(28))
-            by = np.argsort((of.astype(U64) << U64(45)) | rarity)
-            of, hashes = of[by], hashes[by]
+            rarity = (ranks.take((hashes & U64(SLOTS - 1)).view(np.int64)).astype(U64) << U64(36)) | (hashes >> U64(28))
+            keys = (of.astype(U64) << U64(45)) | rarity
+            by = np.argsort(keys)
+            of, hashes = (keys.take(by) >> U64(45)).view(np.int64), hashes.take(by)
             fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1]))[: len(of)]
             found.append(hashes[fresh])
             sizes[a:b] = np.bincount(of[fresh], minlength=b - a)
@@ -224,14 +223,15 @@ def set_sums(found: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def sketch_distance(e: dict, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Classes whose parities differ: never more than the members that only one of the sets has."""
-    halves = [e["sketch"][i] ^ e["sketch"][j]]
+    halves = [e["sketch"].take(i) ^ e["sketch"].take(j)]
     far, left = np.bitwise_count(halves[0]).astype(np.int64), np.arange(len(i))
     for bound in LONG:
         long = least[left] > bound
         left = left[long]
         if not len(left):
             break
-        new = [e[k][i[left]] ^ e[k][j[left]] for k in SKETCH[len(halves) : 2 * len(halves)]]
+        one, two = i[left], j[left]
+        new = [e[k].take(one) ^ e[k].take(two) for k in SKETCH[len(halves) : 2 * len(halves)]]
         halves = [old[long] ^ half for old, half in zip(halves, new, strict=True)] + new
         far[left] = sum(np.bitwise_count(h).astype(np.int64) for h in halves)
     return far
@@ -271,14 +271,14 @@ def _entries(lines: Lines, which: np.ndarray, ranks: np.ndarray, parts: int, lea
     prefix = np.where(use, size - needed(size) + 1, 0)
     of = np.repeat(np.arange(len(which)), prefix)
     at = np.arange(len(of)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-    word = found[offsets[:-1][of] + at]
-    shared = ranks[(word & U64(SLOTS - 1)).astype(np.int32)] > ONCE
+    word = found.take(offsets.take(of) + at)
+    shared = ranks.take((word & U64(SLOTS - 1)).view(np.int64)) > ONCE
     of, at, word = of[shared], at[shared], word[shared]
     # sets of so few tokens are similar to equal ones only
     whole = (needed(size) == size) & (needed(size + 1) > size)
-    word = mix(np.where(whole[of], total[of], word))
-    columns = {"word": word >> U64(32), "size": size[of], "at": at, "check": (total >> U64(32)).astype(np.uint32)[of], "row": lines.row[which][of], "line": lines.line[which][of]}
-    return (word % U64(parts)).astype(np.int64), columns | {k: v[of] for k, v in zip(SKETCH, sketch, strict=True)}, repeats
+    word = mix(np.where(whole.take(of), total.take(of), word))
+    columns = {"word": word >> U64(32), "at": at} | {k: v.take(of) for k, v in {"size": size, "check": (total >> U64(32)).astype(np.uint32), "row": lines.row[which], "line": lines.line[which]}.items()}
+    return (word % U64(parts)).astype(np.int64), columns | {k: v.take(of) for k, v in zip(SKETCH, sketch, strict=True)}, repeats
 
 
 def _narrow(columns: dict[str, np.ndarray]) -> bool:
@@ -368,10 +368,10 @@ def _in_order(e: dict[str, np.ndarray]) -> np.ndarray:
 
 def _may_match(e: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Length, positional and sketch filters for entries i and j of one word."""
-    a, b = e["size"][i].astype(np.int64), e["size"][j].astype(np.int64)
+    a, b = e["size"].take(i).astype(np.int64), e["size"].take(j).astype(np.int64)
     both = needed_of_two(a + b)
     ok = needed(np.maximum(a, b)) <= np.minimum(a, b)
-    ok &= 1 + np.minimum(a - e["at"][i] - 1, b - e["at"][j] - 1) >= both
+    ok &= 1 + np.minimum(a - e["at"].take(i) - 1, b - e["at"].take(j) - 1) >= both
     left = np.flatnonzero(ok)
     i, j = i[left], j[left]
     far = sketch_distance(e, i, j, np.minimum(a, b)[left])
@@ -390,7 +390,7 @@ def _near(e: dict, kept: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.nda
         n = count[start:end]
         j = np.repeat(np.arange(start, end), n)
         i = j - np.repeat(n, n) + (np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n))
-        i, j = kept[i], kept[j]
+        i, j = kept.take(i), kept.take(j)
         ok = _may_match(e, i, j)
         yield np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])
         start = end
@@ -480,7 +480,7 @@ def _pairs(most: int, parts: int):
             return _pair_table(e, own, own, np.full(len(own), KNOWN, np.uint8))
         by = _in_order(e)
         none = e[SKETCH[-1]]
-        e = {k: v if v is none and not none.any() else v[by] for k, v in e.items()}
+        e = {k: v if v is none and not none.any() else v.take(by) for k, v in e.items()}
         return _pair_table(e, *_group_pairs(e, most))
 
     return pairs
